@@ -7,6 +7,7 @@ from importlib import import_module
 #: query: (module, function, name of its SQL)
 _WHERE = {
     "op3_exact_dedup": ("exact_dedup", "exact_dedup_query", "EXACT_DEDUP_SQL"),
+    "op5_simhash": ("simhash", "simhash_query", None),
     "op9_secret_scan": ("secrets", "secrets_query", None),
 }
 
