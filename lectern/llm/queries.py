@@ -8,6 +8,7 @@ from importlib import import_module
 _WHERE = {
     "op3_exact_dedup": ("exact_dedup", "exact_dedup_query", "EXACT_DEDUP_SQL"),
     "op5_simhash": ("simhash", "simhash_query", None),
+    "op7_bpe": ("bpe", "bpe_query", None),
     "op9_secret_scan": ("secrets", "secrets_query", None),
 }
 
