@@ -10,6 +10,7 @@ _WHERE = {
     "op2_quality": ("quality", "quality_query", None),
     "op3_exact_dedup": ("exact_dedup", "exact_dedup_query", "EXACT_DEDUP_SQL"),
     "op5_simhash": ("simhash", "simhash_query", None),
+    "op6_lz_fingerprint": ("lzprint", "lzprint_query", None),
     "op7_bpe": ("bpe", "bpe_query", None),
     "op8_language_id": ("langid", "langid_query", None),
     "op9_secret_scan": ("secrets", "secrets_query", None),
