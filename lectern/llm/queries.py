@@ -9,6 +9,7 @@ _WHERE = {
     "op10_packing": ("packing", "packing_query", None),
     "op2_quality": ("quality", "quality_query", None),
     "op3_exact_dedup": ("exact_dedup", "exact_dedup_query", "EXACT_DEDUP_SQL"),
+    "op4_html_extract": ("extract", "extract_query", None),
     "op5_simhash": ("simhash", "simhash_query", None),
     "op6_lz_fingerprint": ("lzprint", "lzprint_query", None),
     "op7_bpe": ("bpe", "bpe_query", None),
