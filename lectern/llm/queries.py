@@ -7,6 +7,7 @@ from importlib import import_module
 #: query: (module, function, name of its SQL)
 _WHERE = {
     "op10_packing": ("packing", "packing_query", None),
+    "op1_pii": ("pii", "pii_query", None),
     "op2_quality": ("quality", "quality_query", None),
     "op3_exact_dedup": ("exact_dedup", "exact_dedup_query", "EXACT_DEDUP_SQL"),
     "op4_html_extract": ("extract", "extract_query", None),
