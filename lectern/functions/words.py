@@ -22,7 +22,9 @@ ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.", "e.g.", "i.e.", "e
 
 _CLOSE = r"""[\p{Ps}\p{Pe}\p{Pi}\p{Pf}"']*"""
 _SPACE = r"[\p{IsWhite_Space}]*"
-_OTHER = r"[^\p{L}\p{Nl}.!?\x02\x03\x04]*"
+#: Sentence ends other than the full stop, of the scripts in common use.
+_STOPS = "!?。！？｡؟۔।॥‼⁇⁈⁉"
+_OTHER = rf"[^\p{{L}}\p{{Nl}}.{_STOPS}\x02]*"
 _TRIM = r"\A[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+\z"
 
 
@@ -38,17 +40,16 @@ def count_words(text: Column) -> Column:
 def marked(text: Column) -> Column:
     """The text with `\\x01` after each of its sentences.
 
-    Full stops that end none, by the rules SB6 to SB8a, become `\\x02` meanwhile (exclamation and question marks
-    `\\x03` and `\\x04`); then what is left ends sentences (SB9 to SB11), but not after an abbreviation.
+    Full stops that end none, by the rules SB6 to SB8, become `\\x02` meanwhile; then what is left ends sentences
+    (SB8a to SB11) if no comma or the like follows, but not after an abbreviation.
     """
-    t = F.translate(text, "\x01\x02\x03\x04", "\x05\x05\x05\x05")
+    t = F.translate(text, "\x01\x02", "\x05\x05")
     t = F.regexp_replace(t, rf"\.({_CLOSE}{_SPACE}{_OTHER}\p{{Ll}})", "\x02$1")
-    t = F.regexp_replace(t, r"\.(\p{Nd})", "\x02$1")
+    t = F.regexp_replace(t, r"\.(?=\p{Nd})", "\x02")
     t = F.regexp_replace(t, r"(?<=\p{L})\.(?=\p{Lu})", "\x02")
-    for stop, mark in ((r"\.", "\x02"), ("!", "\x03"), (r"\?", "\x04")):
-        t = F.regexp_replace(t, rf"{stop}({_CLOSE}{_SPACE}[,;:\-–—、，])", f"{mark}$1")
-    t = F.regexp_replace(t, rf"([.!?\x02\x03\x04]*[.!?](?:{_CLOSE}{_SPACE}[.!?]+)*{_CLOSE}{_SPACE}|[\x{{85}}\x{{2028}}\x{{2029}}])", "$1\x01")
-    t = F.translate(t, "\x02\x03\x04", ".!?")
+    ends = rf"(?>[.{_STOPS}\x02]*[.{_STOPS}](?:{_CLOSE}{_SPACE}[.{_STOPS}]+)*{_CLOSE}{_SPACE})(?![,;:\-–—、，])"
+    t = F.regexp_replace(t, rf"({ends}|[\x{{85}}\x{{2028}}\x{{2029}}])", "$1\x01")
+    t = F.translate(t, "\x02", ".")
     known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     return F.regexp_replace(t, rf"(?<=\A|[\p{{IsWhite_Space}}\x01])([^\p{{IsAlphabetic}}\p{{N}}\p{{IsWhite_Space}}\x01]*(?:{known})[\p{{IsWhite_Space}}]*)\x01", "$1")
 
