@@ -77,7 +77,7 @@ def group_metrics(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     # outer: a document without a sentence, or a sentence's place, stays as a row without a word
     inside = docs.select(*keys, F.posexplode_outer(every).alias("sent_ix", "sentence"))
     rows = inside.select(*keys, F.coalesce("sent_ix", F.lit(0)).alias("sent_ix"), F.posexplode_outer(words.words(F.col("sentence"))).alias("word_ix", "word"))
-    r = rows.withColumn("n", lexical.count_syllables(F.col("word")))
+    r = rows.withColumn("n", F.when(F.col("word").isNotNull(), lexical.count_syllables(F.col("word"))))
     first = F.col("word_ix") == 0
     spans = F.count_if((F.col("sent_ix") == 0) & (first | F.col("word_ix").isNull()))
     found = r.groupBy(*keys).agg(
