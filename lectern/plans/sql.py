@@ -24,7 +24,8 @@ def words(text: str) -> str:
     return f"list_filter(regexp_extract_all({text}, '{WORD}'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))"
 
 
-def sentences(text: str) -> str:
+def pieces(text: str) -> str:
+    """The text's segments with the blanks around them; line breaks are blanks."""
     t = f"translate({text}, chr(10) || chr(13), '  ')"
     t = _replace(t, rf"\.({_CLOSE}{_SPACE}{_OTHER}\p{{Ll}})", r"chr(2) || '\1'")
     t = _replace(t, r"\.(\p{Nd})", r"chr(2) || '\1'")
@@ -37,7 +38,11 @@ def sentences(text: str) -> str:
     known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     for _ in range(2):
         t = _replace(t, rf"(^|[\s\x01])([^\p{{L}}\p{{N}}\s\x01]*(?:{known})\s*)\x01", r"'\1\2'")
-    return f"list_filter(list_transform(string_split({t}, chr(1)), lambda s: trim(s)), lambda s: regexp_matches(s, '[\\p{{L}}\\p{{N}}]'))"
+    return f"string_split({t}, chr(1))"
+
+
+def sentences(text: str) -> str:
+    return f"list_filter(list_transform({pieces(text)}, lambda s: trim(s)), lambda s: regexp_matches(s, '[\\p{{L}}\\p{{N}}]'))"
 
 
 def syllables(word: str) -> str:
