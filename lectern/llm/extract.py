@@ -35,7 +35,7 @@ _GOOD = frozenset("article articlebody content entry story post posts main mainc
 _BAD = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead topbar toolbar "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login signin register search form share sharing social comment comments commentlist disqus reply replies respond discussion "
-    "related recommended recommendations trending popular widget widgets pagination pager paging tags taglist copyright legal disclaimer skip toc".split()
+    "related recommended recommendations trending popular widget widgets pagination pager paging tags taglist copyright legal disclaimer skip toc byline meta postmeta".split()
 )
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -149,6 +149,8 @@ def blocks(page: str) -> list[Block]:
             continue
         _, context, link, path = stack[-1]
         own = signal(tag, attributes)
+        if tag == "header" and own == _TAG_SIGNAL["header"] and context > 0:
+            own = 1.0  # an article's own header holds its headline
         serial += 1
         stack.append((tag, context if not own or context <= -20 else own, link or tag == "a", path if tag in _INLINE else (*path[-40:], serial)))
     end()
@@ -164,7 +166,7 @@ def cost(b: Block) -> float:
     if words > 4 and b.text[-1] in ".!?…\"”»":
         score += 0.7
     if b.tag in ("p", "blockquote", "pre", "h1"):
-        score += 0.7
+        score += 0.9
     return score
 
 

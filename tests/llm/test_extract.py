@@ -28,6 +28,21 @@ def test_article_alone_is_kept():
     assert extract.main_text(page(NOISE + f"<div><div>{paragraphs()}</div></div>" + END)) == "\n".join(PROSE)
 
 
+def test_kinds_of_pages():
+    body = paragraphs()
+    keep = "\n".join(PROSE)
+    for before, after in [
+        ("<main>", "<section class='comments'><article class='comment'><p>Great article, thank you so much.</p></article></section></main>"),
+        ("<article><header><h1>Head</h1><p class='byline'>By A. Writer</p></header>", "<footer>Tags: rain, river</footer></article>"),
+        ("<div id=page><div id=masthead>My Blog</div><div id=content>", "<div class='share-buttons'><a>Tweet</a></div></div><div id=sidebar><ul><li><a href=1>One post title</a></li></ul></div></div>"),
+        ("<div class='notice'>Maintenance on Sunday, all day long.</div><article>", "<div class='ad'>Buy our shoes, the best shoes you will ever get.</div></article>"),
+        ("<body class='with-sidebar'><div class='entry-content'>", "<form><label>Email</label><button>Subscribe</button></form></div><div role='contentinfo'>Imprint</div>"),
+    ]:
+        text = extract.main_text(before + body + after)
+        assert text.removeprefix("Head\n") == keep, text
+    assert extract.main_text("<p>Hello world.</p>") == "Hello world."
+
+
 def test_broken_markup():
     assert extract.main_text("<body><article><p><b>One two three<br><p>Four &am") == "One two three\nFour &am"
     assert extract.main_text("<article><p>a < b and c > d<p>x <a href='q>r'>y</a> z</article>") == "a < b and c > d\nx y z"
