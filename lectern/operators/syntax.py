@@ -32,7 +32,7 @@ def with_known_parses(sentences: DataFrame, parses: DataFrame) -> DataFrame:
     return sentences.join(parses.select("sentence", "parse"), "sentence", "left").withColumn("parse", F.coalesce(F.col("parse").cast(PARSE), none))
 
 
-def _map_column(df: DataFrame, column: str, result: str, kind: str, one: Callable[[tuple], object], args: tuple[str, ...]) -> DataFrame:
+def map_column(df: DataFrame, result: str, kind: str, one: Callable[[tuple], object], args: tuple[str, ...]) -> DataFrame:
     """`df` with `result` made by `one` of the values of `args`, in an Arrow map; other columns pass untouched."""
     target = StructType([*[StructField(f.name, f.dataType) for f in df.schema if f.name != result], *StructType.fromDDL(f"{result} {kind}")])
     arrow = to_arrow_schema(target)
@@ -59,7 +59,7 @@ def with_parser(sentences: DataFrame, factory: Callable[[], object]) -> DataFram
         except ValueError as e:
             return {"status": "error", "tokens": None, "pieces": None, "max": None, "error": str(e)}
 
-    return _map_column(sentences, "sentence", "parse", PARSE, one, ("sentence",))
+    return map_column(sentences, "parse", PARSE, one, ("sentence",))
 
 
 def _syntax(tokens: list[dict] | None, sentence: str) -> dict | None:
@@ -85,10 +85,23 @@ def _syntax(tokens: list[dict] | None, sentence: str) -> dict | None:
 
 def with_syntax(parsed: DataFrame) -> DataFrame:
     """`parsed` (sentence, parse) with a column `syntax`; null without tokens. A malformed tree has only its error."""
-    out = _map_column(parsed.withColumn("_tokens", F.col("parse.tokens")), "sentence", "syntax", SYNTAX, _syntax, ("_tokens", "sentence"))
+    out = map_column(parsed.withColumn("_tokens", F.col("parse.tokens")), "syntax", SYNTAX, _syntax, ("_tokens", "sentence"))
     return out.drop("_tokens")
 
 
+def with_heads(df: DataFrame, scores: str = "scores", single_root: bool = False) -> DataFrame:
+    """`df` with `heads` array<int>: the maximum spanning forest (or tree with one root) of a matrix array<array<double>>
+    of scores[head][dependent], roots on its diagonal; a root heads itself."""
+    import numpy as np
+
+    from lectern.functions.decoding import one_root, spanning_forest
+
+    def one(matrix):
+        return None if matrix is None else (one_root if single_root else spanning_forest)(np.array(matrix, np.float32)).tolist()
+
+    return map_column(df, "heads", "array<int>", one, (scores,))
+
+
 def nominalizations(tokens: Column) -> Column:
     """How many nouns of a parse are nominalizations, by the parser's lemma."""
     noun = lambda t: (t.upostag == "NOUN") & lexical.is_nominalization(lexical.parsed_lemma(t.form, t.lemma))
