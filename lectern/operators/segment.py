@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from lectern.functions import words
 from lectern.functions.segmentation import segment as segment_one
 
 SENTENCE = "struct<text:string,block_start:int,start:int,end:int,line:int,column:int,end_line:int,end_column:int>"
@@ -49,8 +50,19 @@ def span_rows(segmented: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Data
 
 def sentence_rows(segmented: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, sent_ix, sentence, block_start, start, end, line, column, end_line, end_column, pieces), in source order."""
+    return _sentences(segmented, keys, F.posexplode)
+
+
+def sentence_rows_and_empty(segmented: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The same with the document's `prose_spans` and `block_words` on each row, and a row with a null sentence for a
+    document that has none: what file totals need, in one pass over the documents."""
+    block_words = F.aggregate(F.transform("blocks", lambda b: F.size(words.words(b.text))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return _sentences(segmented.withColumn("block_words", block_words), (*keys, "prose_spans", "block_words"), F.posexplode_outer)
+
+
+def _sentences(segmented: DataFrame, keys: tuple[str, ...], explode) -> DataFrame:
     every = F.flatten(F.transform("blocks", lambda b: F.transform(b.sentences, lambda s: F.struct(s.alias("s"), b.pieces.alias("pieces")))))
-    rows = segmented.select(*keys, F.posexplode(every).alias("sent_ix", "x"))
+    rows = segmented.select(*keys, explode(every).alias("sent_ix", "x"))
     return rows.select(*keys, "sent_ix", F.col("x.s.text").alias("sentence"), *[f"x.s.{c}" for c in ("block_start", "start", "end", "line", "column", "end_line", "end_column")], "x.pieces")
 
 

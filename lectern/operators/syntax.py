@@ -54,6 +54,8 @@ def with_parser(sentences: DataFrame, factory: Callable[[], object]) -> DataFram
     with status and tokens). An error is kept with its sentence, as status `error`."""
 
     def one(sentence):
+        if sentence is None:
+            return {"status": "unparsed", "tokens": None, "pieces": None, "max": None, "error": None}
         try:
             return {"pieces": None, "max": None, "error": None, **factory().parse(sentence)}
         except ValueError as e:
