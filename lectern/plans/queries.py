@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lexical, scores, words
 from lectern.operators import surface
 from lectern.plans import sql
-from lectern.sources.documents import from_table, source_format
+from lectern.sources.documents import from_table, source_format, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs_of(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", keep=keep)
+    return spread(from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", keep=keep), "doc_id")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -105,14 +105,15 @@ def readability_by_lang(spark, sf_dir):
 @query("readability_by_source", sql.metrics("source_name", table="(SELECT doc_id, text, source AS source_name FROM documents)", inner="doc_id, source_name"))
 def readability_by_source(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("source", "source_name")
-    return rounded(surface.group_metrics(from_table(d, "doc_id", "text", keep=("source_name",)), ("source_name",)).drop("prose_spans"))
+    docs = spread(from_table(d, "doc_id", "text", keep=("source_name",)), "doc_id")
+    return rounded(surface.group_metrics(docs, ("source_name",)).drop("prose_spans"))
 
 
 @query("readability_rollup", f"WITH {sql.word_rows('doc_id, lang, source_name', '(SELECT doc_id, text, lang, source AS source_name FROM documents)')}, c AS (SELECT lang, source_name, {sql.COUNTS} FROM word GROUP BY ROLLUP (lang, source_name)) SELECT lang, source_name, words, sentences, syllables, complex_words, nominalizations, {sql.SCORES} FROM c")
 def readability_rollup(spark, sf_dir):
     """Counts are additive, so totals at every level come from the sums of the lowest."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("source", "source_name")
-    low = surface.group_metrics(from_table(d, "doc_id", "text", keep=("lang", "source_name")), ("lang", "source_name"))
+    low = surface.group_metrics(spread(from_table(d, "doc_id", "text", keep=("lang", "source_name")), "doc_id"), ("lang", "source_name"))
     names = (*surface.COUNTS, "nominalizations")
     return rounded(surface.scored(low.rollup("lang", "source_name").agg(*[F.sum(c).alias(c) for c in names])))
 
@@ -154,7 +155,7 @@ def formats(spark, sf_dir):
 @query("conversation_readability", sql.metrics("conv_id, role", table="conversations", inner="conv_id, turn, role").replace("WITH listed", "WITH listed"))
 def conversation_readability(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("source", F.coalesce("text", F.lit("")))
-    return rounded(surface.group_metrics(c, ("conv_id", "role")).drop("prose_spans"))
+    return rounded(surface.group_metrics(spread(c, "conv_id"), ("conv_id", "role")).drop("prose_spans"))
 
 
 @query("label_readability", f"WITH {sql.word_rows()}, c AS (SELECT quality, toxic, {sql.COUNTS} FROM word JOIN labels USING (doc_id) GROUP BY quality, toxic) SELECT quality, toxic, words, sentences, syllables, complex_words, nominalizations, {sql.SCORES} FROM c")

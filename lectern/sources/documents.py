@@ -24,3 +24,10 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def from_table(df: DataFrame, id_col: str, text_col: str, format: str = PLAIN, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, format, *keep): documents that are rows of a table."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("source"), F.lit(format).alias("format"), *keep)
+
+
+def spread(docs: DataFrame, *keys: str) -> DataFrame:
+    """`docs` dealt by `keys` to all cores where its scan would keep less than half of them busy, as with one small file or
+    row group; as it is otherwise, so large inputs aren't shuffled. What is grouped by the keys later needs no second shuffle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, *keys) if 2 * docs.rdd.getNumPartitions() <= cores else docs
