@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, table
+from lectern.llm.common import map_arrow, small_batches, table
 
 #: Least hashes that a fingerprint keeps; of fewer phrases it keeps all, and then the likeness is exact.
 KEPT = 128
@@ -98,6 +98,7 @@ def neighbour_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     travel once; only a block's first row travels twice. Of rows with one id, the order is that of their texts.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("id"), F.col(text_col).alias("text"))
     n = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.agg(F.percentile_approx("id", [i / n for i in range(n)], F.lit(100 * n)).alias("q"), F.min("id").alias("low")).first()
