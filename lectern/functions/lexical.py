@@ -56,6 +56,13 @@ def is_nominalization(lemma: Column, stoplist: tuple[str, ...] = STOPLIST) -> Co
     return low.rlike(NOMINAL_SUFFIX) & long & ~low.isin(*stoplist)
 
 
+def is_nominal_word(word: Column) -> Column:
+    """Whether a word's surface lemma is a nominalization. Words that hold no such ending are told by a plain search."""
+    low = F.lower(word)
+    may = low.contains("tion") | low.contains("sion") | low.contains("ment") | low.contains("ance") | low.contains("ence") | low.contains("ity") | low.contains("itie")
+    return F.when(may, is_nominalization(surface_lemma(word))).otherwise(F.lit(False))
+
+
 def parsed_lemma(form: Column, lemma: Column) -> Column:
     """A parser's lemma; where it gives `_`, the surface lemma of the form."""
     return F.when(lemma == "_", surface_lemma(form)).otherwise(lemma)

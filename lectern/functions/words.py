@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Common letters, which need no look-up of properties; the rest of a pattern is tried beyond ASCII only.
+_COMMON = r"A-Za-zÀ-ÖØ-öø-ɏ"
+_FAR = r"(?![\x00-\x7F])"
 #: Marks that follow a letter or digit without ending its word.
-_M = r"[\p{M}\p{Cf}&&[^\x{200B}]]*"
+_M = rf"(?:{_FAR}[\p{{M}}\p{{Cf}}&&[^\x{{200B}}]])*+"
 #: Letters that aren't words of their own, as ideographs, Hiragana and the letters of scripts without spaces are.
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-_L = rf"[\p{{L}}\p{{Nl}}&&[^{_ALONE}]]{_M}"
-_D = rf"\p{{Nd}}{_M}"
+_L = rf"(?:[{_COMMON}]++|{_FAR}[\p{{L}}\p{{Nl}}&&[^{_ALONE}]]){_M}"
+_D = rf"(?:[0-9]++|{_FAR}\p{{Nd}}){_M}"
 _MID = r"[:·.'‘’․﹒＇．]"
 _MIDNUM = r"[,;.'‘’․﹒＇．]"
 #: A word: runs of letters, digits and connectors, one ideograph, or one other numeral.
-WORD = rf"(?:{_L}(?:{_MID}{_L})*+|{_D}(?:{_MIDNUM}{_D})*+|\p{{Pc}})++|[{_ALONE}]{_M}|\p{{No}}{_M}"
-ALPHANUMERIC = r"[\p{IsAlphabetic}\p{N}]"
+WORD = rf"(?:{_L}(?:{_MID}{_L})*+|{_D}(?:{_MIDNUM}{_D})*+|_|{_FAR}\p{{Pc}})++|{_FAR}(?:[{_ALONE}]|\p{{No}}){_M}"
+ALPHANUMERIC = rf"[{_COMMON}0-9]|{_FAR}[\p{{IsAlphabetic}}\p{{N}}]"
 
 #: Abbreviations after which a sentence goes on (fixed values).
 ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.", "e.g.", "i.e.", "etc.", "vs.", "Fig.", "No.", "cf.")
@@ -25,7 +28,8 @@ _SPACE = r"[\p{IsWhite_Space}]*"
 #: Sentence ends other than the full stop, of the scripts in common use.
 _STOPS = "!?。！？｡؟۔।॥‼⁇⁈⁉"
 _OTHER = rf"[^\p{{L}}\p{{Nl}}.{_STOPS}\x02]*"
-_TRIM = r"\A[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+\z"
+#: The characters of the property White_Space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(text: Column) -> Column:
@@ -56,7 +60,7 @@ def marked(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """array<string>: the sentences of a block's text, trimmed; those without a word are left out."""
-    parts = F.transform(F.split(marked(text), "\x01"), lambda s: F.regexp_replace(s, _TRIM, ""))
+    parts = F.transform(F.split(marked(text), "\x01"), lambda s: F.btrim(s, F.lit(_WHITE)))
     return F.filter(parts, lambda s: s.rlike(ALPHANUMERIC))
 
 

@@ -49,7 +49,7 @@ def count(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.count_if(first).alias("sentences"),
         F.sum("n").alias("syllables"),
         F.count_if(lexical.is_complex(F.col("word"), first, F.col("n"))).alias("complex_words"),
-        F.count_if(lexical.is_nominalization(lexical.surface_lemma(F.col("word")))).alias("nominalizations"),
+        F.count_if(lexical.is_nominal_word(F.col("word"))).alias("nominalizations"),
     )
 
 
@@ -86,6 +86,6 @@ def group_metrics(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.count_if(first).alias("sentences"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("syllables"),
         F.count_if(lexical.is_complex(F.col("word"), first, F.col("n"))).alias("complex_words"),
-        F.count_if(lexical.is_nominalization(lexical.surface_lemma(F.col("word")))).alias("nominalizations"),
+        F.count_if(lexical.is_nominal_word(F.col("word"))).alias("nominalizations"),
     )
     return scored(found)
