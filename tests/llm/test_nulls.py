@@ -45,7 +45,22 @@ def test_pages(spark):
 
 
 def test_stages(spark, docs):
-    rows = docs
-    for _, f in corpus_pipeline.STAGES:
+    """A null id stands for as many documents as it has texts: its copy of a document with an id goes, the others stay."""
+    rows, texts = docs, []
+    for _, f in corpus_pipeline.STAGES[:-1]:
         rows = f(spark, rows, "")
-        assert rows.count() >= 0
+        texts.append(sorted((str(r.doc_id), r.text) for r in rows.collect()))
+    alone, same, other = ("None", "alone among the nulls"), "the very same text", ("2", "other words, other letters")
+    assert texts[0] == sorted([alone, ("1", same), ("None", same), other])
+    assert texts[1] == texts[2] == texts[3] == sorted([alone, ("1", same), other])
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() == 3
+
+
+def test_copies_without_any_id(spark, docs):
+    a = "a text of some words that is long enough to be a near copy of another one, if but a word of it differs from that one in the end"
+    rows = [(None, a), (None, a.replace(" ", "  ")), (None, a[:-3] + "END"), (3, a + " more"), (3, "another text of the same id")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    exact = corpus_pipeline.exact(spark, df, "")
+    assert sorted((str(r.doc_id), " ".join(r.text.split())) for r in exact.collect()) == sorted([("None", a), ("None", a[:-3] + "END"), ("3", a + " more"), ("3", "another text of the same id")])
+    near = corpus_pipeline.near(spark, exact, "")
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == [(3, a + " more"), (3, "another text of the same id")]
