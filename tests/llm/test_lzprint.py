@@ -60,3 +60,17 @@ def test_likeness_estimates_jaccard(sample):
             x, y = phrases(a), phrases(b)
             est = lzprint.likeness(lzprint.read(lzprint.fingerprint(a)), lzprint.read(lzprint.fingerprint(b)))
             assert abs(est - len(x & y) / len(x | y)) < 0.16
+
+
+def test_ids_keep_their_type(spark, sample):
+    texts = list(sample.values())[:40]
+    rows = [(f"id {i % 17:02} {i}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "name string, text string")
+    assert got(lzprint.neighbour_likeness(df, "name")) == expected(rows)
+    assert got(lzprint.neighbour_likeness(df.where("false"), "name")) == []
+    df = spark.createDataFrame([(None, "a b c d"), ("", "e f g h"), ("é", "x y z")], "doc_id string, text string")
+    out = {r.doc_id: r.edited_sha256 for r in lzprint.neighbour_likeness(df).collect()}
+    assert out[None] == hashlib.sha256(b"a b c e").hexdigest() and out[""] == hashlib.sha256(b"e f g x").hexdigest()
+    df = spark.createDataFrame(list(sample.items())[:20], "doc_id int, text string")
+    out = lzprint.neighbour_likeness(df)
+    assert out.schema["doc_id"].dataType.simpleString() == "int" and got(out) == expected(list(sample.items())[:20])
