@@ -75,7 +75,7 @@ class Model:
     def score(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, block: int = 512) -> np.ndarray:
         """The similarity-weighted share of label 1 among the k nearest labelled vectors, by exact cosines, block by block.
 
-        Equally similar neighbours beyond the k-th are left out by place. Without a similar one: the labels' prior.
+        Of neighbours as similar as the k-th those of the first places count. Without a similar one: the labels' prior.
         """
         out = np.full(len(docs), self.prior)
         k = min(k, len(self.label))
@@ -84,6 +84,10 @@ class Model:
         for at in range(0, len(docs), block):
             cos = self.embed(docs[at : at + block]) @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.broadcast_to(np.arange(k), (len(cos), k))
+            if k < cos.shape[1]:
+                last = np.take_along_axis(cos, near, 1).min(1, keepdims=True)
+                tied = np.flatnonzero((cos >= last).sum(1) > k)
+                near[tied] = np.argsort(-cos[tied], axis=1, kind="stable")[:, :k]
             w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** 4 * self.weight[near]
             total = w.sum(1)
             ok = total > 0
@@ -116,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Document frequencies over every row of `docs`, and vectors of at most `sample` labelled rows for each label.
 
     The sample is those of smallest hashed id; votes are weighted so that the labels count by their frequency among
-    all of `labels`. Null labels and ids without a document aren't used; of a repeated id, one row is.
+    all of `labels`. Null labels, ids with both labels and ids without a document aren't used; of an id's repeated documents
+    that of the smallest terms is.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -139,9 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     idf = np.log((1 + rows) / (1 + df)) + 0.1
 
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    marked = marked.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").select("id", "label")
     of = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("id")
-    chosen = marked.where("label = 0").orderBy(order, "id").limit(sample).union(marked.where("label = 1").orderBy(order, "id").limit(sample)).dropDuplicates(["id"])
+    chosen = marked.where("label = 0").orderBy(order, "id").limit(sample).union(marked.where("label = 1").orderBy(order, "id").limit(sample))
 
     def features(cols):
         found = [terms(t or b"") for t in cols["text"]]

@@ -19,13 +19,14 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Entropy in bits that a window must reach, by the narrowest class that holds the candidate. Digits alone are no secret.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
-#: Harmless strings of high entropy. A candidate that matches one of these whole is suppressed.
+#: Harmless strings of high entropy. A candidate that one of the first matches whole is suppressed; of one that holds a
+#: match of PLACEHOLDER, the windows that overlap it are.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[0-9=_/+-]+",  # rules and numbers
     r"(?:[A-Za-z]+[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}",  # paths and identifiers made of words
-    r".*(?:EXAMPLE|example|0123456789|abcdefghij).*",
 )
+PLACEHOLDER = re.compile("EXAMPLE|example|0123456789|abcdefghij")
 _CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
 
 
@@ -73,19 +74,34 @@ def hot_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str, width: int = 20, thresholds: dict[str, float] | None = None, allowed: re.Pattern | None = None) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of stretches of high entropy in candidate strings that aren't on the allow-list."""
+    """(start, kind, end) of stretches of high entropy in candidate strings that aren't on the allow-list.
+
+    A candidate without a digit counts only where its case changes about as often as by chance (`mixed`): words, and names
+    made of capitalised words, have entropies as high as random letters, and random small letters can't be told from words.
+    """
     thresholds = thresholds or THRESHOLDS
     allowed = allowed or _ALLOWED
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if not any(c.isdigit() for c in s) or allowed.fullmatch(s):
+        if not (mixed(s) or any(c.isdigit() for c in s)) or allowed.fullmatch(s):
             continue
         kind = next(k for k, p in _CLASSES if p.fullmatch(s))
-        out += [(m.start() + a, 3, m.start() + b) for a, b in hot_windows(s, width, thresholds[kind])]
+        at = m.start()
+        for piece in [*PLACEHOLDER.finditer(s), None]:
+            stop = m.start() + piece.start() if piece else m.end()
+            out += [(at + a, 3, at + b) for a, b in hot_windows(text[at:stop], width, thresholds[kind])]
+            at = m.start() + piece.end() if piece else stop
     return out
 
 
+def mixed(s: str) -> bool:
+    """Whether capitals are 3 to 7 in 10 of the letters and follow small ones in one of six places at least."""
+    up = sum(c.isupper() for c in s)
+    letters = up + sum(c.islower() for c in s)
+    return 0.3 * letters <= up <= 0.7 * letters and 6 * sum(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)) >= len(s)
+
+
 _ALLOWED = re.compile("|".join(f"(?:{p})" for p in ALLOWED))
 
 

@@ -31,6 +31,23 @@ def test_scores_are_the_exact_vote(spark):
         assert abs(got[i] - sum(a * m.label[j] for a, j in zip(w, near, strict=True)) / sum(w)) < 1e-4
 
 
+def test_ties_go_by_place():
+    """Of many equal neighbours the first count, as in a stable sort; so for every size of the model."""
+    for n in (60, 1000, 4096):
+        m = quality.Model(np.ones(quality.TERMS), np.zeros((quality.TERMS, 2), np.float32), np.zeros((n, 2), np.float32), np.zeros(n), np.ones(n), 0.5)
+        m.vectors[:, 0] = 1
+        m.vectors[::7] = (0, 1)
+        m.label[: n // 10] = 1
+        m.embed = lambda docs: np.array([[0.8, 0.6]] * len(docs), np.float32)
+        near = sorted(range(n), key=lambda j: -float(m.vectors[j] @ np.array([0.8, 0.6], np.float32)))[:25]
+        assert abs(m.score([None] * 3)[1] - np.mean([m.label[j] for j in near])) < 1e-6
+
+
+def test_ids_with_both_labels_are_not_used(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (7, 0), (4, 0), (10, 1)], "doc_id long, quality int")
+    assert sorted(quality.fit(odd, labels).label) == [0, 1]
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (4, 1), (7, 0), (8, None), (99, 1), (4, 1)], "doc_id long, quality int")
     m = quality.fit(odd, labels)

@@ -85,3 +85,22 @@ def test_query_rows(spark, odd, empty):
         base = slow_base(t)
         assert q[i].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
         assert (q[i].n_assign, q[i].n_access, q[i].n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+
+
+def test_allowed_pieces_hide_only_themselves():
+    secret = "q7Rt2Xv9Kp4Lm8Zs1Wd6Yc3"
+    for text in (f"/example/api/{secret}", f"{secret}EXAMPLE", f"see example{secret} here"):
+        (found,) = secrets.entropy_spans(text)
+        assert secret[:20] in text[found[0] : found[2]] and "xample" not in text[found[0] : found[2]]
+    assert secrets.entropy_spans("0123456789abcdefghij0123456789") == []
+
+
+def test_letters_alone():
+    import random
+
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    strings = ["".join(draw.choice(letters) for _ in range(40)) for _ in range(200)]
+    assert sum(bool(secrets.entropy_spans(s)) for s in strings) >= 180
+    for word in ("Donaudampfschifffahrtsgesellschaft", "AbstractSingletonProxyFactoryBean", "antidisestablishmentarianism", "THE_QUICK_BROWN_FOX_JUMPS_OVER"):
+        assert secrets.entropy_spans(word) == []
