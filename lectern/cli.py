@@ -8,7 +8,7 @@ import os
 import sys
 from functools import partial
 
-from lectern.operators.analysis import Thresholds, analyze, compact, diagnostics
+from lectern.operators.analysis import Thresholds, analysed_rows, compact, diagnostics, file_analysis
 
 CLEAN, FLAGGED, FAILED = 0, 1, 2
 
@@ -86,8 +86,8 @@ def main(argv: list[str] | None = None, spark=None, out=None, err=None) -> int:
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     docs = spark.createDataFrame(sources, "doc_id int, path string, source string").withColumn("format", source_format(F.col("path")))
     limits = Thresholds(args.max_sentence_len, args.max_mdd, args.max_tree_depth, args.max_clauses)
-    files, sentences = analyze(docs, limits, ("doc_id", "path"), parser=parse)
-    sentences = sentences.persist()
+    rows = analysed_rows(docs, limits, ("doc_id", "path"), parser=parse).persist()
+    files, sentences = file_analysis(rows, ("doc_id", "path")), rows.where("sentence is not null")
     try:
         by = {r.doc_id: r.asDict(recursive=True) for r in files.collect()}
         found: dict[int, list[dict]] = {i: [] for i, *_ in sources}
@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None, spark=None, out=None, err=None) -> int:
                 cause = r.parse.error or f"the parse is not a tree: {r.syntax.tree_error}"
                 failed.setdefault(r.doc_id, f"lectern: cannot parse the sentence at {at}: {cause}")
     finally:
-        sentences.unpersist()
+        rows.unpersist()
     reports = []
     for i, path, source in sources:
         if i in failed:

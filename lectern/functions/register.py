@@ -15,12 +15,20 @@ def _count(text: str, pattern: str) -> str:
     return f"regexp_count({text}, {_text(pattern)})"
 
 
+def _sentences() -> str:
+    text = "block"
+    for function, found, put in words.MARKING:
+        text = f"{function}({text}, {_text(found)}, {_text(put)})"
+    return f"filter(transform(split({text}, {_text(chr(1))}), s -> btrim(s, {_text(words.WHITE)})), s -> s RLIKE {_text(words.ALPHANUMERIC)})"
+
+
 def definitions() -> dict[str, str]:
     """Signature and body of each function."""
     stop = ", ".join(map(_text, lexical.STOPLIST))
     plural = f"regexp_replace(lower(word), {_text(r'''(?:'s|’s|'|’)\z''')}, '')"
     return {
         "text_words(text STRING) RETURNS ARRAY<STRING>": f"filter(regexp_extract_all(text, {_text(words.WORD)}, 0), w -> w RLIKE {_text(words.ALPHANUMERIC)})",
+        "text_sentences(block STRING) RETURNS ARRAY<STRING>": _sentences(),
         "count_words(text STRING) RETURNS BIGINT": "size(text_words(text))",
         "count_syllables(word STRING) RETURNS BIGINT": f"greatest(1, {_count('lower(word)', '[aeiouy]+')} + {_count('lower(word)', lexical.ADDITIONS)} - {_count('lower(word)', lexical.EXCEPTIONS)})",
         "is_complex(word STRING, initial BOOLEAN) RETURNS BOOLEAN": f"NOT (word RLIKE {_text(chr(92) + 'A' + chr(92) + 'p{IsUppercase}')} AND NOT initial) AND count_syllables(word) - CAST(lower(word) RLIKE {_text(lexical.SYLLABIC_SUFFIX)} AS INT) >= 3",

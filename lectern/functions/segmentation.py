@@ -14,14 +14,30 @@ _EF = r"[\p{SB=Extend}\p{SB=Format}]*"
 _END = regex.compile(rf"([\p{{SB=ATerm}}\p{{SB=STerm}}]){_EF}(?:\p{{SB=Close}}{_EF})*(?:\p{{SB=Sp}}{_EF})*(?:\r\n|[\p{{SB=Sep}}\p{{SB=CR}}\p{{SB=LF}}])?|\r\n|[\p{{SB=Sep}}\p{{SB=CR}}\p{{SB=LF}}]")
 _SEPARATOR = regex.compile(r"[\p{SB=Sep}\p{SB=CR}\p{SB=LF}]")
 _FULL_STOP = regex.compile(r"\p{SB=ATerm}")
-_NUMERIC, _UPPER, _CASED = regex.compile(r"\p{SB=Numeric}"), regex.compile(r"\p{SB=Upper}"), regex.compile(rf"[\p{{SB=Upper}}\p{{SB=Lower}}]{_EF}\Z")
+_NUMERIC, _UPPER, _CASED, _MARK = (regex.compile(p) for p in (r"\p{SB=Numeric}", r"\p{SB=Upper}", r"[\p{SB=Upper}\p{SB=Lower}]", r"[\p{SB=Extend}\p{SB=Format}]"))
 _GOES_ON = regex.compile(r"[\p{SB=SContinue}\p{SB=ATerm}\p{SB=STerm}]")
 _LOWER_FIRST = regex.compile(r"[^\p{SB=OLetter}\p{SB=Upper}\p{SB=Lower}\p{SB=Sep}\p{SB=CR}\p{SB=LF}\p{SB=ATerm}\p{SB=STerm}]*+\p{SB=Lower}")
 _DIRECT = regex.compile(rf"[\p{{SB=ATerm}}]{_EF}\Z")
 _LEADING = regex.compile(r"\A[^\p{Alphabetic}\p{N}]+")
 _WORDLIKE = regex.compile(r"[\p{Alphabetic}\p{N}]")
 _WHITE = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_TOKENS = regex.compile(r"[^\p{White_Space}]+")
+
+
+def _after_letter(text: str, at: int) -> bool:
+    """Whether a cased letter, and what marks it has, stand before `at`."""
+    while at and _MARK.match(text, at - 1):
+        at -= 1
+    return at > 0 and _CASED.match(text, at - 1) is not None
+
+
+def _last_token(text: str, start: int, end: int) -> str:
+    """The last run in text[start:end] without white space; '' if there is none."""
+    while end > start and text[end - 1] in _WHITE:
+        end -= 1
+    at = end
+    while at > start and text[at - 1] not in _WHITE:
+        at -= 1
+    return text[at:end]
 
 
 def segments(text: str) -> list[tuple[int, int]]:
@@ -34,7 +50,7 @@ def segments(text: str) -> list[tuple[int, int]]:
         if not _SEPARATOR.match(text, end - 1):
             term = m[1]
             if _FULL_STOP.match(term):
-                if _DIRECT.match(m[0]) and (_NUMERIC.match(text, end) or _UPPER.match(text, end) and _CASED.search(text, max(0, m.start() - 8), m.start())):
+                if _DIRECT.match(m[0]) and (_NUMERIC.match(text, end) or _UPPER.match(text, end) and _after_letter(text, m.start())):
                     continue
                 if _LOWER_FIRST.match(text, end):
                     continue
@@ -53,9 +69,7 @@ def sentence_ranges(text: str) -> list[tuple[int, int]]:
     found = segments(text)
     for k, (a, b) in enumerate(found):
         start = a if start is None else start
-        tokens = _TOKENS.findall(text, max(start, b - 200), b)
-        last = _LEADING.sub("", tokens[-1]) if tokens else ""
-        if last in ABBREVIATIONS and k + 1 < len(found):
+        if _LEADING.sub("", _last_token(text, start, b)) in ABBREVIATIONS and k + 1 < len(found):
             continue
         s = text[start:b]
         head = len(s) - len(s.lstrip(_WHITE))

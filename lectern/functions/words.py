@@ -29,7 +29,7 @@ _SPACE = r"[\p{IsWhite_Space}]*"
 _STOPS = "!?。！？｡؟۔।॥‼⁇⁈⁉"
 _OTHER = rf"[^\p{{L}}\p{{Nl}}.{_STOPS}\x02]*"
 #: The characters of the property White_Space.
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(text: Column) -> Column:
@@ -41,26 +41,35 @@ def count_words(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
 
 
+def _known() -> str:
+    names = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    return rf"(?<=\A|[\p{{IsWhite_Space}}\x01])([^\p{{IsAlphabetic}}\p{{N}}\p{{IsWhite_Space}}\x01]*(?:{names})[\p{{IsWhite_Space}}]*)\x01"
+
+
+#: What marks sentence ends with `\x01`, in order, as (SQL function, what it finds, what it puts): full stops that end none, by
+#: the rules SB6 to SB8, become `\x02` meanwhile; then what is left ends sentences (SB8a to SB11) if no comma or the like
+#: follows, but not after an abbreviation.
+MARKING = (
+    ("translate", "\x01\x02", "\x05\x05"),
+    ("regexp_replace", rf"\.({_CLOSE}{_SPACE}{_OTHER}\p{{Ll}})", "\x02$1"),
+    ("regexp_replace", r"\.(?=\p{Nd})", "\x02"),
+    ("regexp_replace", r"(?<=\p{L})\.(?=\p{Lu})", "\x02"),
+    ("regexp_replace", rf"((?>[.{_STOPS}\x02]*[.{_STOPS}](?:{_CLOSE}{_SPACE}[.{_STOPS}]+)*{_CLOSE}{_SPACE})(?![,;:\-–—、，])|[\x{{85}}\x{{2028}}\x{{2029}}])", "$1\x01"),
+    ("translate", "\x02", "."),
+    ("regexp_replace", _known(), "$1"),
+)
+
+
 def marked(text: Column) -> Column:
-    """The text with `\\x01` after each of its sentences.
-
-    Full stops that end none, by the rules SB6 to SB8, become `\\x02` meanwhile; then what is left ends sentences
-    (SB8a to SB11) if no comma or the like follows, but not after an abbreviation.
-    """
-    t = F.translate(text, "\x01\x02", "\x05\x05")
-    t = F.regexp_replace(t, rf"\.({_CLOSE}{_SPACE}{_OTHER}\p{{Ll}})", "\x02$1")
-    t = F.regexp_replace(t, r"\.(?=\p{Nd})", "\x02")
-    t = F.regexp_replace(t, r"(?<=\p{L})\.(?=\p{Lu})", "\x02")
-    ends = rf"(?>[.{_STOPS}\x02]*[.{_STOPS}](?:{_CLOSE}{_SPACE}[.{_STOPS}]+)*{_CLOSE}{_SPACE})(?![,;:\-–—、，])"
-    t = F.regexp_replace(t, rf"({ends}|[\x{{85}}\x{{2028}}\x{{2029}}])", "$1\x01")
-    t = F.translate(t, "\x02", ".")
-    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    return F.regexp_replace(t, rf"(?<=\A|[\p{{IsWhite_Space}}\x01])([^\p{{IsAlphabetic}}\p{{N}}\p{{IsWhite_Space}}\x01]*(?:{known})[\p{{IsWhite_Space}}]*)\x01", "$1")
+    """The text with `\x01` after each of its sentences."""
+    for function, found, put in MARKING:
+        text = F.translate(text, found, put) if function == "translate" else F.regexp_replace(text, found, put)
+    return text
 
 
 def sentences(text: Column) -> Column:
     """array<string>: the sentences of a block's text, trimmed; those without a word are left out."""
-    parts = F.transform(F.split(marked(text), "\x01"), lambda s: F.btrim(s, F.lit(_WHITE)))
+    parts = F.transform(F.split(marked(text), "\x01"), lambda s: F.btrim(s, F.lit(WHITE)))
     return F.filter(parts, lambda s: s.rlike(ALPHANUMERIC))
 
 

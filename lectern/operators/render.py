@@ -20,10 +20,17 @@ def tables(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def annotated(diagnostics: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), path: str = "path") -> DataFrame:
-    """Diagnostic rows (with a path) with a column `report`: the annotated source lines. Sources come by a join on the keys."""
-    rows = diagnostics.join(docs.select(*keys, F.col("source").alias("_source")), list(keys))
+    """Diagnostic rows (with a path) with a column `report`: the annotated source lines.
 
-    def one(p, source, metrics, advice, *place):
-        return rendering.annotated(p, source, {"metrics": metrics, "advice": advice, **dict(zip(("start", "end", "line", "column"), place, strict=True))})
+    A document's diagnostics meet its source as one row, so the source travels once however many there are. Documents are
+    told by their keys, which are theirs alone; one without diagnostics gives no row.
+    """
+    held = [c for c in diagnostics.columns if c not in keys]
+    found = diagnostics.groupBy(*keys).agg(F.collect_list(F.struct(*held)).alias("_found"))
+    rows = found.join(docs.select(*keys, F.col("source").alias("_source")), list(keys))
 
-    return map_column(rows, "report", "string", one, (path, "_source", "metrics", "advice", "start", "end", "line", "column")).drop("_source")
+    def one(source, found):
+        return [rendering.annotated(d[path], source or "", d) for d in found]
+
+    made = map_column(rows, "_report", "array<string>", one, ("_source", "_found"))
+    return made.select(*keys, F.explode(F.arrays_zip("_found", "_report")).alias("x")).select(*keys, "x._found.*", F.col("x._report").alias("report"))

@@ -64,31 +64,32 @@ def with_parser(sentences: DataFrame, factory: Callable[[], object]) -> DataFram
     return map_column(sentences, "parse", PARSE, one, ("sentence",))
 
 
-def _syntax(tokens: list[dict] | None, sentence: str) -> dict | None:
-    if tokens is None:
-        return None
-    error = trees.tree_error(tokens)
-    empty = dict.fromkeys(("distance", "dependencies", "depth", "clauses", "center_embeddings", "passives", "content"))
-    if error:
-        return {"tree_error": error, **empty}
-    tree = trees.content(tokens)
-    distance, n = trees.dependency_distance(tree)
-    return {
-        "tree_error": None,
-        "distance": distance,
-        "dependencies": n,
-        "depth": max(trees.depths(tree), default=0),
-        "clauses": sum(trees.is_clausal(t["deprel"]) for t in tree),
-        "center_embeddings": trees.center_embeddings(tokens, tree),
-        "passives": trees.passives(tokens, sentence),
-        "content": [{k: t[k] for k in ("cid", "chead", "form", "deprel")} for t in tree],
-    }
-
-
-def with_syntax(parsed: DataFrame) -> DataFrame:
-    """`parsed` (sentence, parse) with a column `syntax`; null without tokens. A malformed tree has only its error."""
-    out = map_column(parsed.withColumn("_tokens", F.col("parse.tokens")), "syntax", SYNTAX, _syntax, ("_tokens", "sentence"))
-    return out.drop("_tokens")
+#: Each field of SYNTAX but the error, from the tokens, their projection on content, and the sentence.
+_MADE = {
+    "distance": lambda tokens, tree, sentence: trees.dependency_distance(tree)[0],
+    "dependencies": lambda tokens, tree, sentence: trees.dependency_distance(tree)[1],
+    "depth": lambda tokens, tree, sentence: max(trees.depths(tree), default=0),
+    "clauses": lambda tokens, tree, sentence: sum(trees.is_clausal(t["deprel"]) for t in tree),
+    "center_embeddings": lambda tokens, tree, sentence: trees.center_embeddings(tokens, tree),
+    "passives": lambda tokens, tree, sentence: trees.passives(tokens, sentence),
+    "content": lambda tokens, tree, sentence: [{k: t[k] for k in ("cid", "chead", "form", "deprel")} for t in tree],
+}
+
+
+def with_syntax(parsed: DataFrame, fields: tuple[str, ...] = tuple(_MADE)) -> DataFrame:
+    """`parsed` (sentence, parse) with a column `syntax`; null without tokens. A malformed tree has only its error. Of the
+    struct, the `fields` asked for are made and the others null."""
+
+    def one(tokens, sentence):
+        if tokens is None:
+            return None
+        out = {"tree_error": trees.tree_error(tokens), **dict.fromkeys(_MADE)}
+        if not out["tree_error"]:
+            tree = trees.content(tokens)
+            out |= {f: _MADE[f](tokens, tree, sentence) for f in fields}
+        return out
+
+    return map_column(parsed.withColumn("_tokens", F.col("parse.tokens")), "syntax", SYNTAX, one, ("_tokens", "sentence")).drop("_tokens")
 
 
 def with_heads(df: DataFrame, scores: str = "scores", single_root: bool = False) -> DataFrame:

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from lectern.functions import words
 from lectern.operators import analysis, segment, surface, syntax
 from lectern.plans import sql
-from lectern.plans.fixtures import PARSES
-from lectern.plans.queries import docs_of, query
+from lectern.plans.queries import docs_of, query, rounded
 from lectern.sources.conllu import TOKENS
 from lectern.sources.documents import MARKDOWN
 
 _DEPRELS = ("advcl", "nsubj", "acl:relcl", "obj", "aux:pass", "nsubj:pass")
 
 
-def heap_trees(sentences: DataFrame) -> DataFrame:
-    """`sentences` (..., sent_ix, sentence) with a column `parse`."""
+def heap_trees(sentences: DataFrame, tokens_of=words.words) -> DataFrame:
+    """`sentences` (..., sent_ix, sentence) with a column `parse`; `tokens_of` gives a sentence's forms."""
+
     def token(w, k):
         i = k + 1
         n = F.size("_w")
@@ -30,7 +30,7 @@ def heap_trees(sentences: DataFrame) -> DataFrame:
         return F.struct(i.alias("id"), w.alias("form"), F.lit("_").alias("lemma"), F.when(i % 5 == 0, "PUNCT").otherwise("NOUN").alias("upostag"), head.cast("int").alias("head"), deprel.alias("deprel"))
 
     tokens = F.transform("_w", token)
-    rows = sentences.withColumn("_w", words.words(F.col("sentence")))
+    rows = sentences.withColumn("_w", tokens_of(F.col("sentence")))
     none = F.lit(None).cast("int")
     return rows.withColumn("parse", F.struct(F.lit("parsed").alias("status"), tokens.cast(TOKENS).alias("tokens"), none.alias("pieces"), none.alias("max"), F.lit(None).cast("string").alias("error"))).drop("_w")
 
@@ -49,18 +49,18 @@ span AS (SELECT doc_id, sent_ix, of, min(c - CAST(floor(c / 5) AS BIGINT)) AS lo
 _SENT = "doc_id, CAST(sent_ix AS INT) AS sent_ix"
 
 
-def parsed(spark, sf_dir: str) -> DataFrame:
-    return syntax.with_syntax(heap_trees(surface.sentences(docs_of(spark, sf_dir))))
+def parsed(spark, sf_dir: str, *fields: str) -> DataFrame:
+    return syntax.with_syntax(heap_trees(surface.sentences(docs_of(spark, sf_dir))), fields)
 
 
 @query("dependency_distance", f"WITH RECURSIVE {TREES} SELECT {_SENT}, CAST(coalesce(sum(abs(cid - chead)) FILTER (chead > 0), 0) AS BIGINT) AS distance, count(*) FILTER (chead > 0) AS dependencies FROM node GROUP BY doc_id, sent_ix")
 def dependency_distance(spark, sf_dir):
-    return parsed(spark, sf_dir).select("doc_id", "sent_ix", "syntax.distance", "syntax.dependencies")
+    return parsed(spark, sf_dir, "distance", "dependencies").select("doc_id", "sent_ix", "syntax.distance", "syntax.dependencies")
 
 
 @query("tree_depth", f"WITH RECURSIVE {TREES} SELECT {_SENT}, CAST(max(depth) AS INT) AS depth FROM node GROUP BY doc_id, sent_ix")
 def tree_depth(spark, sf_dir):
-    return parsed(spark, sf_dir).select("doc_id", "sent_ix", "syntax.depth")
+    return parsed(spark, sf_dir, "depth").select("doc_id", "sent_ix", "syntax.depth")
 
 
 _CLAUSAL = "split_part(deprel, ':', 1) IN ('advcl', 'acl', 'csubj', 'ccomp')"
@@ -78,12 +78,12 @@ _EMBEDDED = f"""emb AS (SELECT s.doc_id, s.sent_ix, s.i, s.hi AS v FROM node s W
 
 @query("center_embeddings", f"WITH RECURSIVE {TREES}, {_EMBEDDED} SELECT e.doc_id, CAST(e.sent_ix AS INT) AS sent_ix, a.form AS subject, b.form AS verb, CAST(e.v - e.i - 1 AS INT) AS words_between FROM emb e JOIN tok a ON a.doc_id = e.doc_id AND a.sent_ix = e.sent_ix AND a.i = e.i JOIN tok b ON b.doc_id = e.doc_id AND b.sent_ix = e.sent_ix AND b.i = e.v")
 def center_embeddings(spark, sf_dir):
-    return parsed(spark, sf_dir).select("doc_id", "sent_ix", F.explode("syntax.center_embeddings").alias("e")).select("doc_id", "sent_ix", "e.*")
+    return parsed(spark, sf_dir, "center_embeddings").select("doc_id", "sent_ix", F.explode("syntax.center_embeddings").alias("e")).select("doc_id", "sent_ix", "e.*")
 
 
 @query("content_projection", f"WITH RECURSIVE {TREES} SELECT {_SENT}, CAST(cid AS INT) AS cid, CAST(chead AS INT) AS chead FROM node")
 def content_projection(spark, sf_dir):
-    return parsed(spark, sf_dir).select("doc_id", "sent_ix", F.explode("syntax.content").alias("c")).select("doc_id", "sent_ix", "c.cid", "c.chead")
+    return parsed(spark, sf_dir, "content").select("doc_id", "sent_ix", F.explode("syntax.content").alias("c")).select("doc_id", "sent_ix", "c.cid", "c.chead")
 
 
 @query("passives", f"WITH {TREES.split('up AS')[0].rstrip().rstrip(',')}, heads AS (SELECT DISTINCT doc_id, sent_ix, head FROM tok WHERE deprel = 'aux:pass' AND head > 0) SELECT h.doc_id, CAST(h.sent_ix AS INT) AS sent_ix, CAST(h.head AS INT) AS head, t.form AS verb FROM heads h JOIN tok t ON t.doc_id = h.doc_id AND t.sent_ix = h.sent_ix AND t.i = h.head")
@@ -95,22 +95,43 @@ def passives(spark, sf_dir):
 
 @query("file_mdd", f"WITH RECURSIVE {TREES}, f AS (SELECT doc_id, CAST(sum(abs(cid - chead)) FILTER (chead > 0) AS BIGINT) AS total, count(*) FILTER (chead > 0) AS dependencies FROM node GROUP BY doc_id) SELECT doc_id, coalesce(total, 0) AS total, dependencies, CASE WHEN dependencies > 0 THEN round(total / dependencies, 6) END AS mdd, CASE WHEN dependencies = 0 THEN 'no content dependency' END AS absence FROM f")
 def file_mdd(spark, sf_dir):
-    s = parsed(spark, sf_dir).groupBy("doc_id").agg(F.sum("syntax.distance").alias("total"), F.sum("syntax.dependencies").alias("dependencies"))
+    s = parsed(spark, sf_dir, "distance", "dependencies").groupBy("doc_id").agg(F.sum("syntax.distance").alias("total"), F.sum("syntax.dependencies").alias("dependencies"))
     mdd = F.when(F.col("dependencies") > 0, F.round(F.col("total") / F.col("dependencies"), 6))
     return s.withColumns({"mdd": mdd, "absence": F.when(mdd.isNull(), analysis.NO_DEPENDENCY)})
 
 
-@query(
-    "flags",
-    f"""WITH RECURSIVE {TREES}, {_EMBEDDED},
+_FLAGGED = f"""{TREES}, {_EMBEDDED},
 m AS (SELECT doc_id, sent_ix, any_value(n) AS n, sum(abs(cid - chead)) FILTER (chead > 0) / nullif(count(*) FILTER (chead > 0), 0) AS mdd, max(depth) AS depth, count(*) FILTER ({_CLAUSAL}) AS clauses FROM node GROUP BY doc_id, sent_ix),
-e AS (SELECT doc_id, sent_ix, count(*) AS k FROM emb GROUP BY ALL)
-SELECT * FROM (SELECT doc_id, CAST(sent_ix AS INT) AS sent_ix, 'LongSentence' AS flag, 1::BIGINT AS times FROM m WHERE n > 25 UNION ALL SELECT doc_id, CAST(sent_ix AS INT), 'HighMdd', 1 FROM m WHERE mdd > 3.0
-UNION ALL SELECT doc_id, CAST(sent_ix AS INT), 'DeepTree', 1 FROM m WHERE depth > 5 UNION ALL SELECT doc_id, CAST(sent_ix AS INT), 'ClauseOverload', 1 FROM m WHERE clauses > 2 UNION ALL SELECT doc_id, CAST(sent_ix AS INT), 'CenterEmbedding', k FROM e)""",
-)
+e AS (SELECT doc_id, sent_ix, i, 'subject "' || a.form || '" separated from verb "' || b.form || '" by ' || (v - i - 1) || ' words' AS message FROM emb JOIN tok a USING (doc_id, sent_ix, i) JOIN (SELECT doc_id, sent_ix, i AS v, form FROM tok) b USING (doc_id, sent_ix, v))"""
+_ALL_FLAGS = "SELECT doc_id, sent_ix, 'LongSentence' AS flag, 'sentence has ' || n || ' words (max 25)' AS message FROM m WHERE n > 25 UNION ALL SELECT doc_id, sent_ix, 'HighMdd', 'mean dependency distance ' || printf('%.2f', mdd) || ' (max 3.00)' FROM m WHERE mdd > 3.0 UNION ALL SELECT doc_id, sent_ix, 'DeepTree', 'dependency tree depth ' || depth || ' edges (max 5)' FROM m WHERE depth > 5 UNION ALL SELECT doc_id, sent_ix, 'ClauseOverload', clauses || ' subordinate clauses (max 2)' FROM m WHERE clauses > 2 UNION ALL SELECT doc_id, sent_ix, 'CenterEmbedding', message FROM e"
+_FLAG_FIELDS = ("distance", "dependencies", "depth", "clauses", "center_embeddings")
+
+
+@query("flags", f"WITH RECURSIVE {_FLAGGED} SELECT doc_id, CAST(sent_ix AS INT) AS sent_ix, flag, count(*) AS times FROM ({_ALL_FLAGS}) GROUP BY ALL")
 def flags(spark, sf_dir):
-    s = analysis.sentence_analysis(parsed(spark, sf_dir))
-    return s.select("doc_id", "sent_ix", F.explode(F.transform("flags", lambda f: f["name"])).alias("flag")).groupBy("doc_id", "sent_ix", "flag").agg(F.count("*").alias("times"))
+    """Counted on the sentence's row, so nothing is shuffled."""
+    s = analysis.sentence_analysis(parsed(spark, sf_dir, *_FLAG_FIELDS)).select("doc_id", "sent_ix", F.transform("flags", lambda f: f["name"]).alias("names"))
+    one = s.select("doc_id", "sent_ix", "names", F.explode(F.array_distinct("names")).alias("flag"))
+    return one.select("doc_id", "sent_ix", "flag", F.size(F.filter("names", lambda x: x == F.col("flag"))).cast("bigint").alias("times"))
+
+
+@query("flag_messages", f"WITH RECURSIVE {_FLAGGED} SELECT doc_id, CAST(sent_ix AS INT) AS sent_ix, flag, message FROM ({_ALL_FLAGS})")
+def flag_messages(spark, sf_dir):
+    """The text of every flag of every sentence."""
+    s = analysis.sentence_analysis(parsed(spark, sf_dir, *_FLAG_FIELDS))
+    return s.select("doc_id", "sent_ix", F.explode("flags").alias("f")).select("doc_id", "sent_ix", F.col("f.name").alias("flag"), "f.message")
+
+
+@query(
+    "parsed_metric_lines",
+    f"""WITH RECURSIVE {_FLAGGED},
+x AS (SELECT doc_id, sent_ix, string_agg('center-embedding: ' || message || ' (CenterEmbedding)', '; ' ORDER BY i) AS lines FROM e GROUP BY ALL)
+SELECT doc_id, CAST(sent_ix AS INT) AS sent_ix, 'words: ' || n || ' (' || CASE WHEN n > 25 THEN 'LongSentence, ' ELSE '' END || 'max 25); mean dependency distance: ' || CASE WHEN mdd IS NULL THEN 'absent (no content dependency)' ELSE printf('%.2f', mdd) || ' (' || CASE WHEN mdd > 3.0 THEN 'HighMdd, ' ELSE '' END || 'max 3.00)' END
+|| '; tree depth: ' || depth || ' edges (' || CASE WHEN depth > 5 THEN 'DeepTree, ' ELSE '' END || 'max 5); subordinate clauses: ' || clauses || ' (' || CASE WHEN clauses > 2 THEN 'ClauseOverload, ' ELSE '' END || 'max 2); ' || coalesce(lines, 'center-embedding: none') AS metrics FROM m LEFT JOIN x USING (doc_id, sent_ix)""",
+)
+def parsed_metric_lines(spark, sf_dir):
+    s = analysis.sentence_analysis(parsed(spark, sf_dir, *_FLAG_FIELDS))
+    return s.select("doc_id", "sent_ix", F.array_join(analysis.metric_lines(analysis.Thresholds()), "; ").alias("metrics"))
 
 
 _BAD = {"good": [2, 0, 2], "empty": [], "order": [0, 1], "range": [0, 9], "roots": [0, 0, 1], "cycle": [2, 3, 1], "loop": [0, 3, 2]}
@@ -123,13 +144,13 @@ def tree_validation(spark, sf_dir):
     return syntax.with_syntax(syntax.with_known_parses(df.select("name", F.col("name").alias("sentence")), df.select(F.col("name").alias("sentence"), "tokens"))).select("name", "syntax.tree_error")
 
 
-@query("known_parses", "SELECT * FROM (VALUES ('The proposal', 32::BIGINT, 12::BIGINT, 4, 1, 'proposal/caused/8', 0, 1::BIGINT), ('We commissio', 36::BIGINT, 14::BIGINT, 4, 1, '', 0, 3::BIGINT), ('The report w', 31::BIGINT, 12::BIGINT, 3, 1, '', 2, 0::BIGINT)) v(sentence, distance, dependencies, depth, clauses, embedded, passives, nominalizations)")
+@query("known_parses", f"WITH {sql.sentence_rows()}, w AS (SELECT *, len({sql.words('sentence')}) AS n, length(sentence) % 3 <> 0 AS known, length(sentence) % 2 = 0 AS even FROM sent) SELECT doc_id, CAST(sent_ix AS INT) AS sent_ix, CASE WHEN known THEN 'parsed' ELSE 'unparsed' END AS status, CASE WHEN known THEN CAST(n AS INT) ELSE -1 END AS tokens, CASE WHEN known THEN CAST(CASE WHEN even OR n = 1 THEN 0 ELSE n + 1 - (n >> 1) END AS INT) ELSE -1 END AS first_head FROM w")
 def known_parses(spark, sf_dir):
-    """Sentences joined with parses by their text."""
-    parses = spark.createDataFrame(PARSES, f"sentence string, tokens {TOKENS}")
-    s = syntax.with_syntax(syntax.with_known_parses(parses.select("sentence"), parses))
-    embedded = F.array_join(F.transform("syntax.center_embeddings", lambda e: F.concat_ws("/", e.subject, e.verb, e.words_between.cast("string"))), ";")
-    return s.select(F.substring("sentence", 1, 12).alias("sentence"), "syntax.distance", "syntax.dependencies", "syntax.depth", "syntax.clauses", embedded.alias("embedded"), F.size("syntax.passives").alias("passives"), syntax.nominalizations(F.col("parse.tokens")).alias("nominalizations"))
+    """The sentences joined by their text with a table of parses, which has two of three."""
+    s = surface.sentences(docs_of(spark, sf_dir))
+    known = s.select("sentence").distinct().withColumn("sent_ix", F.length("sentence")).where("sent_ix % 3 <> 0")
+    p = syntax.with_known_parses(s, heap_trees(known).select("sentence", "parse"))
+    return p.select("doc_id", "sent_ix", "parse.status", F.coalesce(F.size("parse.tokens"), F.lit(-1)).alias("tokens"), F.coalesce(F.col("parse.tokens")[0].head, F.lit(-1)).alias("first_head"))
 
 
 _PLACES = f"""raw AS (SELECT doc_id, text, {sql.pieces('text')} AS p FROM documents),
@@ -152,6 +173,22 @@ def diagnostics_compact(spark, sf_dir):
     return analysis.diagnostics(s).select("doc_id", "sent_ix", analysis.compact(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("line"))
 
 
+@query(
+    "passive_positions",
+    f"""WITH {_PLACES}, part0 AS (SELECT doc_id, sent_ix, sentence, ha, unnest(range(len(string_split(sentence, ' ')))) AS k, unnest(string_split(sentence, ' ')) AS form FROM place),
+part AS (SELECT *, sum(length(form) + 1) OVER (PARTITION BY doc_id, sent_ix ORDER BY k) - length(form) - 1 AS off FROM part0),
+form AS (SELECT doc_id, sent_ix, sentence, ha, form, off, row_number() OVER (PARTITION BY doc_id, sent_ix ORDER BY k) AS i, count(*) OVER (PARTITION BY doc_id, sent_ix) AS n FROM part WHERE form <> ''),
+heads AS (SELECT DISTINCT doc_id, sent_ix, {_HEAD.format(i='i')} AS i FROM form WHERE {_NAMES}[i % 6 + 1] = 'aux:pass' AND {_HEAD.format(i='i')} > 0)
+SELECT doc_id, CAST(sent_ix AS INT) AS sent_ix, form AS verb, CAST(strlen(ha) + strlen(substr(sentence, 1, CAST(off AS BIGINT))) AS INT) AS "offset" FROM form JOIN heads USING (doc_id, sent_ix, i)""",
+)
+def passive_positions(spark, sf_dir):
+    """Where in its source each passive's verb stands; forms are what blanks part."""
+    rows = segment.sentence_rows(segment.segment(docs_of(spark, sf_dir)))
+    trees = heap_trees(rows, lambda t: F.filter(F.split(t, " "), lambda x: x != ""))
+    return analysis.passive_positions(syntax.with_syntax(trees, ("passives",)))
+
+
+#: What readers of CommonMark make of these (fixed values).
 _MARKDOWN = (
     ("emphasis", "**The proposal**, which", "The proposal, which"),
     ("inside", "un*believ*able", "unbelievable"),
@@ -180,7 +217,40 @@ def markdown_spans(spark, sf_dir):
     return segment.span_rows(segment.segment(df, ()), ()).drop("block_ix")
 
 
-@query("metrics_json")
+#: Places in a document's ASCII words where the parts of its Markdown begin, and how many words each has at most.
+_PARTS = ((0, 20), (20, 20), (40, None))
+
+
+def _part(at: int, n: int | None):
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    own = F.array_join(F.slice(w, at + 1, F.lit(n) if n else F.greatest(F.size(w), F.lit(1))), " ")
+    return F.when(own == "", "x").otherwise(own)
+
+
+def _part_sql(at: int, n: int | None) -> str:
+    return f"coalesce(nullif(array_to_string(w[{at + 1}:{at + n if n else 'len(w)'}], ' '), ''), 'x')"
+
+
+@query("markdown_documents", f"WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents), p AS (SELECT doc_id, {', '.join(f'{_part_sql(*x)} AS {c}' for x, c in zip(_PARTS, 'abc', strict=True))} FROM d) SELECT doc_id, a || ' tail|' || b || ' more|inner|' || c || '|' || b || ' end' AS blocks, 8::BIGINT AS prose_spans FROM p")
+def markdown_documents(spark, sf_dir):
+    """Every document's words as Markdown with all sorts of blocks, and the prose read from it."""
+    a, b, c = (_part(*x) for x in _PARTS)
+    parts = ("---\ntitle: front\n---\n\n# ", a, "\n\n**", a, "** tail\n\n- *", b, "* more\n  - inner\n\n> ", c, "\n\n```\n", c, "\n```\n\n| ", a, " | h |\n|---|---|\n| ", b, " | d |\n\n[", b, "](http://example.org/x) end\n")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = d.select("doc_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("source"), F.lit(MARKDOWN).alias("format"))
+    return segment.segment(docs).select("doc_id", F.array_join(F.transform("blocks", lambda x: x.text), "|").alias("blocks"), "prose_spans")
+
+
+_JSON = "struct<prose_spans:bigint,words:bigint,sentences:bigint,syllables:bigint,complex_words:bigint,flesch_reading_ease:double,flesch_kincaid_grade:double,gunning_fog:double,average_sentence_length:double,mean_dependency_distance:double,nominalizations:bigint,nominalization_ratio:double,passives:bigint>"
+_KEYS = ",".join(x.split(":")[0] for x in _JSON.removeprefix("struct<").removesuffix(">").split(","))
+
+
+@query("metrics_json", f"WITH {sql.word_rows()}, c AS (SELECT doc_id, {sql.COUNTS} FROM word GROUP BY doc_id) SELECT doc_id, 'path,metrics' AS outer_keys, '{_KEYS}' AS keys, 'doc-' || doc_id AS path, 1::BIGINT AS prose_spans, words, sentences, syllables, complex_words, nominalizations, {sql.SCORES}, true AS no_mean_dependency_distance, true AS no_passives FROM c")
 def metrics_json(spark, sf_dir):
+    """Each file's JSON, read again: its keys in order, absent values too, and its values."""
     files, _ = analysis.analyze(docs_of(spark, sf_dir))
-    return files.select("doc_id", analysis.metrics_json(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("json"))
+    j = files.select("doc_id", analysis.metrics_json(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("json"))
+    keys = lambda x: F.array_join(F.json_object_keys(x), ",")
+    m = j.select("doc_id", keys(F.col("json")).alias("outer_keys"), keys(F.get_json_object("json", "$.metrics")).alias("keys"), F.get_json_object("json", "$.path").alias("path"), F.from_json(F.get_json_object("json", "$.metrics"), _JSON).alias("m"))
+    values = rounded(m.select("doc_id", "outer_keys", "keys", "path", "m.*"))
+    return values.withColumns({f"no_{x}": F.col(x).isNull() for x in ("mean_dependency_distance", "passives")}).drop("mean_dependency_distance", "passives")

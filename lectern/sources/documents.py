@@ -14,11 +14,22 @@ def source_format(path: Column) -> Column:
     return F.when(extension.isin("md", "markdown"), MARKDOWN).otherwise(PLAIN)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, source, format, status) for each file; where it isn't UTF-8, `source` is null and `status` is `unreadable`."""
-    raw = spark.read.format("binaryFile").load(paths)
+    """(path, source, format, status) for each file of the paths (files, folders or patterns). Where it isn't UTF-8, `source`
+    is null and `status` is `unreadable`; a path where nothing is has a row with the status `missing`. The others are read."""
+    there = [p for p in paths if _exists(spark, p)]
+    gone = spark.createDataFrame([(p,) for p in paths if p not in there], "path string").select("path", F.lit(None).cast("string").alias("source"), source_format(F.col("path")).alias("format"), F.lit("missing").alias("status"))
+    if not there:
+        return gone
+    raw = spark.read.format("binaryFile").load(there)
     ok = F.is_valid_utf8(F.col("content").cast("string"))
-    return raw.select("path", F.when(ok, F.col("content").cast("string")).alias("source"), source_format(F.col("path")).alias("format"), F.when(ok, "ok").otherwise("unreadable").alias("status"))
+    read = raw.select("path", F.when(ok, F.col("content").cast("string")).alias("source"), source_format(F.col("path")).alias("format"), F.when(ok, "ok").otherwise("unreadable").alias("status"))
+    return read.union(gone)
 
 
 def from_table(df: DataFrame, id_col: str, text_col: str, format: str = PLAIN, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,9 @@ def test_sql_functions_are_the_column_functions(spark):
     spark.createDataFrame([(t,) for t in texts], "t string").createOrReplaceTempView("some_texts")
     df = spark.table("some_texts")
     assert [r.w for r in spark.sql("SELECT text_words(t) w FROM some_texts").collect()] == [r.w for r in df.select(words.words(F.col("t")).alias("w")).collect()]
+    assert [r.s for r in spark.sql("SELECT text_sentences(t) s FROM some_texts").collect()] == [r.s for r in df.select(words.sentences(F.col("t")).alias("s")).collect()]
+    (r,) = spark.sql("SELECT text_sentences('Dr. Li came at 3.14 p.m. sharp. \u201cWhy?\u201d she asked. No. 5!') s").collect()
+    assert r.s == ["Dr. Li came at 3.14 p.m. sharp.", "\u201cWhy?\u201d", "she asked.", "No. 5!"]
     exploded = df.select(F.explode(words.words(F.col("t"))).alias("w"))
     exploded.createOrReplaceTempView("some_words")
     got = spark.sql("SELECT w, count_syllables(w) n, is_complex(w, false) c, surface_lemma(w) l, is_nominalization(surface_lemma(w)) m FROM some_words").collect()

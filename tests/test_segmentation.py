@@ -149,3 +149,14 @@ def test_native_sentences_equal_python_sentences(spark):
     for i, t in enumerate(texts):
         want = [x["text"] for b in seg.segment(t, "plain")["blocks"] for x in b["sentences"]]
         assert [x.replace("\x05", "") for x in got[i]] == [x.replace("\x01", "").replace("\x02", "") for x in want], t[:80]
+
+
+@pytest.mark.parametrize("gap", [1, 5, 250, 5_000])
+def test_abbreviations_reach_over_any_blank(gap):
+    text = "We met Dr." + " " * gap + "Smith there. He left."
+    assert len(seg.sentence_ranges(text)) == 2
+
+
+@pytest.mark.parametrize("marks", [0, 1, 10, 1_000])
+def test_letters_keep_any_number_of_marks(marks):
+    assert len(seg.segments("U" + "\u0301" * marks + ".S. is one")) == 1

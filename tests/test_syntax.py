@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.functions import decoding, trees
-from lectern.plans.fixtures import EMBEDDED, NOMINAL, PARSES, PASSIVE, tokens
+from tests.parses import EMBEDDED, NOMINAL, PARSES, PASSIVE, tokens
 
 
 def tree_of(heads, upos=None, deprel=None):
