@@ -19,6 +19,8 @@ _MIDNUM = r"[,;.'‘’․﹒＇．]"
 #: A word: runs of letters, digits and connectors, one ideograph, or one other numeral.
 WORD = rf"(?:{_L}(?:{_MID}{_L})*+|{_D}(?:{_MIDNUM}{_D})*+|_|{_FAR}\p{{Pc}})++|{_FAR}(?:[{_ALONE}]|\p{{No}}){_M}"
 ALPHANUMERIC = rf"[{_COMMON}0-9]|{_FAR}[\p{{IsAlphabetic}}\p{{N}}]"
+#: What a text with a word holds: every letter and numeral is part of one; other alphabetic characters may stand alone.
+HAS_WORD = rf"[{_COMMON}0-9]|{_FAR}[\p{{L}}\p{{N}}]"
 
 #: Abbreviations after which a sentence goes on (fixed values).
 ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.", "e.g.", "i.e.", "etc.", "vs.", "Fig.", "No.", "cf.")

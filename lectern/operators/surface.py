@@ -6,7 +6,9 @@ sentences have the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import lexical, scores, words
@@ -36,21 +38,29 @@ def word_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
     return docs.select(*keys, F.aggregate(per_block, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("words"))
 
 
-def count(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, words, sentences, syllables, complex_words, nominalizations) summed over the word rows of each key.
+def total(array: str, value: Callable[[Column], Column]) -> Column:
+    """The sum of `value` over the elements of an array column."""
+    return F.aggregate(array, F.lit(0).cast("bigint"), lambda a, x: a + value(x).cast("bigint"))
+
+
+def with_counts(rows: DataFrame) -> DataFrame:
+    """`rows` (..., sentence) with words, syllables, complex_words and nominalizations of each sentence, null where it is null.
 
-    All counts are sums, so tasks combine them before the shuffle; `sentences` counts first words.
+    Counted by array functions on the sentence's own row: words don't become rows, and nothing is shuffled.
     """
-    syllables = lexical.count_syllables(F.col("word"))
-    r = rows.withColumn("n", syllables)
-    first = F.col("word_ix") == 0
-    return r.groupBy(*keys).agg(
-        F.count("*").alias("words"),
-        F.count_if(first).alias("sentences"),
-        F.sum("n").alias("syllables"),
-        F.count_if(lexical.is_complex(F.col("word"), first, F.col("n"))).alias("complex_words"),
-        F.count_if(lexical.is_nominal_word(F.col("word"))).alias("nominalizations"),
+    per_word = F.transform(
+        F.col("_words"),
+        lambda w, i: F.struct(lexical.count_syllables(w).alias("n"), lexical.has_syllabic_suffix(w).cast("int").alias("suffix"), (lexical.is_capitalized(w) & (i > 0)).alias("name"), lexical.is_nominal_word(w).alias("nominal")),
     )
+    # columns of their own, so that the arrays are made once and not again in every expression that uses them
+    rows = rows.withColumn("_words", words.words(F.col("sentence"))).withColumn("_w", per_word)
+    counts = {
+        "words": F.array_size("_words").cast("bigint"),
+        "syllables": total("_w", lambda x: x.n),
+        "complex_words": total("_w", lambda x: ~x["name"] & (x.n - x.suffix >= 3)),
+        "nominalizations": total("_w", lambda x: x.nominal),
+    }
+    return rows.withColumns(counts).drop("_words", "_w")
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -60,32 +70,30 @@ def scored(counts: DataFrame) -> DataFrame:
 
 
 def sentence_metrics(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts and scores of each sentence."""
-    own = (*keys, "sent_ix")
-    return scored(count(word_rows(sentences(docs, keys), own), own))
+    """Counts and scores of each sentence that has a word. No shuffle: a sentence is counted where it is read."""
+    rows = with_counts(sentences(docs, keys).where(F.col("sentence").rlike(words.HAS_WORD)))
+    return scored(rows.select(*keys, "sent_ix", "words", F.lit(1).cast("bigint").alias("sentences"), "syllables", "complex_words", "nominalizations"))
 
 
 def document_metrics(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts and scores of each document, as formulas over summed counts; also of documents without a sentence, whose
-    counts are 0 and whose scores are null."""
+    counts are 0 and whose scores are null. Documents that share their keys are summed up as one."""
     return group_metrics(docs, keys)
 
 
 def group_metrics(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The same pooled over any grouping of the documents, e.g. by language."""
+    """The same pooled over any grouping of the documents, e.g. by language. All counts are sums, so tasks combine them before
+    the shuffle."""
     every = F.flatten(F.transform(words.plain_blocks(F.col("source")), lambda b: words.sentences(words.block_text(b))))
-    # outer: a document without a sentence, or a sentence's place, stays as a row without a word
-    inside = docs.select(*keys, F.posexplode_outer(every).alias("sent_ix", "sentence"))
-    rows = inside.select(*keys, F.coalesce("sent_ix", F.lit(0)).alias("sent_ix"), F.posexplode_outer(words.words(F.col("sentence"))).alias("word_ix", "word"))
-    r = rows.withColumn("n", F.when(F.col("word").isNotNull(), lexical.count_syllables(F.col("word"))))
-    first = F.col("word_ix") == 0
-    spans = F.count_if((F.col("sent_ix") == 0) & (first | F.col("word_ix").isNull()))
-    found = r.groupBy(*keys).agg(
-        spans.alias("prose_spans"),
-        F.count("word").alias("words"),
-        F.count_if(first).alias("sentences"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("syllables"),
-        F.count_if(lexical.is_complex(F.col("word"), first, F.col("n"))).alias("complex_words"),
-        F.count_if(lexical.is_nominal_word(F.col("word"))).alias("nominalizations"),
+    # outer: a document without a sentence stays as a row
+    rows = with_counts(docs.select(*keys, F.posexplode_outer(every).alias("sent_ix", "sentence")))
+    summed = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    found = rows.groupBy(*keys).agg(
+        F.count_if(F.coalesce("sent_ix", F.lit(0)) == 0).alias("prose_spans"),
+        summed("words"),
+        F.count_if(F.col("words") > 0).alias("sentences"),
+        summed("syllables"),
+        summed("complex_words"),
+        summed("nominalizations"),
     )
     return scored(found)

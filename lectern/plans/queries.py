@@ -120,8 +120,9 @@ def readability_rollup(spark, sf_dir):
 
 @query("nominalizations", f"WITH {sql.word_rows()}, c AS (SELECT doc_id, count(*) FILTER ({sql.is_nominalization('lemma')}) AS nominalizations, count(*) AS words FROM word GROUP BY doc_id) SELECT *, round(nominalizations / words, 6) AS ratio FROM c")
 def nominalizations(spark, sf_dir):
-    w = surface.word_rows(surface.sentences(docs_of(spark, sf_dir)))
-    c = w.groupBy("doc_id").agg(F.count_if(lexical.is_nominal_word(F.col("word"))).alias("nominalizations"), F.count("*").alias("words"))
+    w = surface.sentences(docs_of(spark, sf_dir)).select("doc_id", words.words(F.col("sentence")).alias("w"))
+    n = w.select("doc_id", surface.total("w", lexical.is_nominal_word).alias("nominalizations"), F.array_size("w").cast("bigint").alias("words"))
+    c = n.groupBy("doc_id").agg(F.sum("nominalizations").alias("nominalizations"), F.sum("words").alias("words")).where("words > 0")
     return c.withColumn("ratio", F.round(scores.ratio(F.col("nominalizations"), F.col("words")), 6))
 
 

@@ -21,13 +21,14 @@ WITNESSES = {
     "été co­op": ["été", "co­op"],
     "": [],
     "abc123 1st 3a.b a.3": ["abc123", "1st", "3a.b", "a", "3"],
+    "\u24b6 \u0345.": [],
 }
 
 
 def test_witnesses(spark):
-    df = spark.createDataFrame([(t,) for t in WITNESSES], "t string").select("t", words.words(F.col("t")).alias("w"), words.count_words(F.col("t")).alias("n"))
+    df = spark.createDataFrame([(t,) for t in WITNESSES], "t string").select("t", words.words(F.col("t")).alias("w"), words.count_words(F.col("t")).alias("n"), F.col("t").rlike(words.HAS_WORD).alias("any"))
     for r in df.collect():
-        assert r.w == WITNESSES[r.t] and r.n == len(r.w), r.t
+        assert r.w == WITNESSES[r.t] and r.n == len(r.w) and r["any"] == bool(r.w), r.t
 
 
 def test_documents_equal_the_standard(spark):
