@@ -26,8 +26,8 @@ SAMPLE, COMMON = 4_000, 50_000
 ROUNDS = 2
 #: A bucket of more rows gets fingerprints and pivots before its pairs are formed; one of over BLOCK rows is dealt to blocks of that size in pairs.
 SMALL, BLOCK, PIVOTS = 32, 2_048, 8
-#: Bits of the fingerprint that rows of large buckets carry; a text's own has up to two bits for each shingle.
-SHORT = 512
+#: Rows and shingles of a block of a cluster, whose rows carry their sets.
+WIDE, HEAVY = 8_192, 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 20
 
@@ -241,15 +241,19 @@ def pivot_table(x: np.ndarray, most: int = PIVOTS) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def of_block(own: np.ndarray, x: np.ndarray, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's rows (..., side, n, node, label) with fingerprints x that can be linked: of both sides, or all if there is one."""
-    side, n, node, label = own[:, -4:].T
+def near_pairs(own: np.ndarray, x: np.ndarray, least: tuple[int, int], label: np.ndarray, coarse: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, distance) of rows (side, n, ...) of other labels whose fingerprints x can be linked, 64 rows with all after them at a time: of
+    both sides, or all if there is one; none of two `coarse` rows. `label` may change meanwhile."""
+    side, n = own[:, 0], own[:, 1]
     table = pivot_table(x)
     total, gap = least[0] + least[1], least[1] - least[0]
     one = side.min() == side.max()
+    step = max(1, (1 << 24) // (8 * x.shape[1]))
     for at in range(0, len(own), 64):
         mine = slice(at, at + 64)
         near = (label[mine, None] != label) & (np.arange(len(own)) > np.arange(len(own))[mine, None]) & alike(n[mine, None], n, least)
+        if coarse is not None:
+            near &= ~(coarse[mine, None] & coarse)
         i, j = np.nonzero(near if one else near & (side[mine, None] != side))
         i += at
         room = (n[i] + n[j]) * gap
@@ -257,23 +261,122 @@ def of_block(own: np.ndarray, x: np.ndarray, least: tuple[int, int]) -> Iterator
             ok = np.abs(table[i, c] - table[j, c]) * total <= room
             i, j, room = i[ok], j[ok], room[ok]
         if len(i):
-            ok = np.bitwise_count(x[i] ^ x[j]).sum(1, dtype=np.int64) * total <= room
-            if ok.any():
-                yield as_pairs(node[i[ok]], node[j[ok]])
+            d = np.concatenate([np.bitwise_count(x[i[k : k + step]] ^ x[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)])
+            ok = d * total <= room
+            yield i[ok], j[ok], d[ok]
 
 
 def of_large(least: tuple[int, int]) -> Callable:
-    """Pairs of rows (token, block, side, n, node, label, fingerprint) of one token and block that can be linked."""
-
-    def f(rows: np.ndarray, short: list) -> Iterator[pa.RecordBatch]:
-        x = np.frombuffer(b"".join(short), np.uint64).reshape(len(rows), -1)
+    """Edges that connect what can be linked among rows (token, block, side, n, node, label, sketch) of one token and block. A block gives
+    fewer edges than it has rows, however many of its pairs can be linked; an edge joins a cluster and need not be such a pair.
+    Fingerprints are compared at the size of the smaller set's, for a short one says nothing of a long text."""
+    wider = 1 << (-(-least[1] // least[0]) - 1).bit_length()  # sets that can be alike have fingerprints of sizes that differ by this factor at most
+
+    def block(own: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch | None:
+        size, low = np.array([len(s) for s in sketches]), np.arange(len(own))
+        for c in np.unique(size).tolist():
+            at = np.flatnonzero((size >= c) & (size <= c * wider))
+            if len(at) < 2:
+                continue
+            x = np.stack([folded(sketches[i], c) for i in at]).view(np.uint64)
+            for i, j, _ in near_pairs(own[at, 2:4], x, least, own[at, 5], size[at] > c):
+                i, j = at[i], at[j]
+                if len(i := i[apart := low[i] != low[j]]):
+                    new = np.flatnonzero(low != np.arange(len(own)))
+                    low = lowest(len(own), np.r_[new, i], np.r_[low[new], j[apart]])
+        new = np.flatnonzero(low != np.arange(len(own)))
+        return as_pairs(own[new, 4], own[low[new], 4]) if len(new) else None
+
+    def f(rows: np.ndarray, sketches: list) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
         for a, b in zip(first, np.r_[first[1:], len(rows)], strict=True):
-            yield from of_block(rows[a:b], x[a:b], least)
+            if (out := block(rows[a:b], sketches[a:b])) is not None:
+                yield out
 
     return runs(f, 2, 6)
 
 
+def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n items the smallest item that the pairs (i, j) reach from it."""
+    low = np.arange(n)
+    while True:
+        least, before = np.minimum(low[i], low[j]), low.copy()
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def linked_in(own: np.ndarray, sets: list[np.ndarray], least: tuple[int, int]) -> pa.RecordBatch | None:
+    """Links (u, v) among rows (side, n, node, label) with these sets that connect what is linked there, verified: fewer than there are rows.
+    A pair that is connected already, by labels or by links found, isn't compared."""
+    bits = min(8_192, max(512, 1 << int(own[:, 1].max()).bit_length()))
+    x = np.frombuffer(b"".join(sketch(s, bits) for s in sets), np.uint64).reshape(len(sets), -1)
+    label = own[:, 3].copy()
+    found = []
+    for i, j, d in near_pairs(own, x, least, label):
+        for k in np.argsort(d, kind="stable"):  # the likeliest first
+            a, b = int(i[k]), int(j[k])
+            if label[a] != label[b]:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both * least[1] >= (len(sets[a]) + len(sets[b]) - both) * least[0]:
+                    found.append((a, b))
+                    label[label == label[b]] = label[a]
+    if found:
+        u, v = own[np.array(found), 2].T
+        return as_pairs(u, v)
+    return None
+
+
+def of_cluster(least: tuple[int, int]) -> Callable:
+    """Links among rows (cluster, block, side, n, node, label, set), sorted by cluster and block, of one cluster and block. Holds a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more = np.zeros((0, 6), np.int64), []
+        for b in (*batches, None):
+            if b is not None:
+                held = np.concatenate([held, columns(b.select(range(6)))])
+                more += [np.frombuffer(s, np.uint64) for s in b.column(6).to_pylist()]
+            first = np.flatnonzero(np.r_[True, (held[1:, :2] != held[:-1, :2]).any(1)]) if len(held) else np.zeros(0, np.int64)
+            ends = [*first[1:].tolist(), *([len(held)] if b is None and len(held) else [])]
+            for at, end in zip(first.tolist(), ends, strict=False):
+                if (out := linked_in(held[at:end, 2:], more[at:end], least)) is not None:
+                    yield out
+            if ends:
+                held, more = held[ends[-1] :], more[ends[-1] :]
+
+    return run
+
+
+def clustered(pairs: DataFrame, large: DataFrame, texts: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
+    """Links that connect what is linked among the nodes of `large` (node, label) that the edges `pairs` (u, v) connect to clusters.
+
+    The texts' sets go to their cluster, once; a cluster of over WIDE rows or HEAVY shingles is dealt to blocks of that size in pairs, so no task
+    holds more than two blocks and none gives more links than it has rows.
+    """
+    cluster = cut(components(pairs).select("node", F.col("component").alias("cluster")))
+    own = cut(join_checked(cluster, large.select("node", "label").distinct(), ["node"], "inner"))
+    some = join_checked(texts, own, ["node"], "inner").dropDuplicates(["node"])
+
+    def batch(cols):
+        sets = shingle_sets(cols["text"], k)
+        yield {"n": [len(s) for s in sets], "set": [s.tobytes() for s in sets]}
+
+    rows = map_arrow(some, batch, "n bigint, set binary", text="text", carry=("cluster", "node", "label"))
+    rows = cut(rows.withColumnsRenamed({"carried_0": "cluster", "carried_1": "node", "carried_2": "label"}))
+    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / WIDE), F.ceil(F.sum("n") / HEAVY)).cast("bigint").alias("parts"))
+    rows = dealt(join_checked(rows, sizes, ["cluster"], "inner"), "cluster", "set")
+    return rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(of_cluster(least), "u bigint, v bigint")
+
+
+def dealt(rows: DataFrame, key: str, last: str) -> DataFrame:
+    """`rows` (key, n, node, label, parts, last) for each pair of blocks that is to meet: (key, block, side, n, node, label, last)."""
+    mine = F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts"))
+    rows = rows.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return rows.select(key, (F.least("side", "other") * F.col("parts") + F.greatest("side", "other")).alias("block"), "side", "n", "node", "label", last)
+
+
 def common_shingles(texts: DataFrame, n: int, k: int) -> Order:
     """The order by shingles that are in several of a sample of the n texts."""
     some = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1))) + 1)
@@ -327,16 +430,18 @@ def verified(found: DataFrame, texts: DataFrame, k: int, least: tuple[int, int])
 
 
 def links(sets: DataFrame, texts: DataFrame, k: int, least: tuple[int, int], rounds: int = ROUNDS) -> DataFrame | None:
-    """Edges (u, v) whose components are those of all pairs of `sets` (node, n, prefix, sketch, short) with the similarity; None if there is none.
+    """Edges (u, v) whose components are those of all pairs of `sets` (node, n, prefix, sketch) with the similarity; None if there is none.
 
     Members of a large group meet by stars first, so what they have in common is not expanded to pairs; those that are
-    not connected after that all meet. No task holds more than a pair of blocks of a bucket.
+    not connected after that all meet. Pairs of small buckets are verified as rows; large buckets only tell which rows can be
+    linked at all, as clusters, and within these the sets are compared where they meet: what is not a link makes no row there. No
+    task holds more than a pair of blocks of a bucket or cluster.
     """
     postings = sets.select(F.explode("prefix").alias("token"), "n", "node")
     held = cut(postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(met(least), "token bigint, n bigint, node bigint"))
     if held.isEmpty():
         return None
-    edges = tried = None
+    edges = tried = sure = None
     label = held.withColumn("label", F.col("node"))
     for turn in range(rounds + 1):
         if turn < rounds:
@@ -350,12 +455,11 @@ def links(sets: DataFrame, texts: DataFrame, k: int, least: tuple[int, int], rou
             found = few.repartition("token").sortWithinPartitions("token").mapInArrow(of_small(least), "u bigint, v bigint")
             large = many.where(F.col("rows") > SMALL)
             if not large.isEmpty():
-                large = join_checked(large, sets.select("node", "short"), ["node"], "inner")
-                parts = F.ceil(F.col("rows") / BLOCK).cast("bigint")
-                mine = F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts"))
-                large = large.withColumn("parts", parts).withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-                large = large.select("token", (F.least("side", "other") * F.col("parts") + F.greatest("side", "other")).alias("block"), "side", "n", "node", "label", "short")
-                found = found.union(large.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(of_large(least), "u bigint, v bigint"))
+                blocks = join_checked(large, sets.select("node", "sketch"), ["node"], "inner")
+                blocks = dealt(blocks.withColumn("parts", F.ceil(F.col("rows") / BLOCK).cast("bigint")), "token", "sketch")
+                pairs = cut(blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(of_large(least), "u bigint, v bigint"))
+                if not pairs.isEmpty():
+                    sure = cut(clustered(pairs, large, texts, k, least))
         found = found.distinct()
         found = cut(possible(cut(found if tried is None else found.join(tried, ["u", "v"], "left_anti")), sets, least))
         if not found.isEmpty():
@@ -365,6 +469,8 @@ def links(sets: DataFrame, texts: DataFrame, k: int, least: tuple[int, int], rou
             if turn < rounds and not new.isEmpty():
                 comp = components(edges).withColumnRenamed("component", "label")
                 label = join_checked(held, cut(comp), ["node"], "left").select("token", "n", "node", F.coalesce("label", "node").alias("label"))
+    if sure is not None:
+        edges = sure if edges is None else edges.union(sure)
     return None if edges is None or edges.isEmpty() else edges
 
 
@@ -386,9 +492,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     def batch(cols):
         sets = shingle_sets(cols["text"], k)
-        yield {"n": [len(s) for s in sets], "prefix": [order.prefix(s, least).view(np.int64) for s in sets], "sketch": [sketch(s) for s in sets], "short": [sketch(s, SHORT) for s in sets]}
+        yield {"n": [len(s) for s in sets], "prefix": [order.prefix(s, least).view(np.int64) for s in sets], "sketch": [sketch(s) for s in sets]}
 
-    read = map_arrow(texts.select("node", "text"), batch, "n bigint, prefix array<bigint>, sketch binary, short binary", text="text", carry=("node",))
+    read = map_arrow(texts.select("node", "text"), batch, "n bigint, prefix array<bigint>, sketch binary", text="text", carry=("node",))
     read = cut(read.withColumnRenamed("carried_0", "node").withColumn("row", F.monotonically_increasing_id()))
     twice = join_checked(read.select("node", "row"), lows.where("rows > 1").select("node"), ["node"], "left_semi").groupBy("node").agg(F.min("row").alias("first"))
     sets = join_checked(read, cut(twice), ["node"], "left").where("first is null or row = first")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -104,6 +105,36 @@ def test_pairs_of_large_buckets(spark, monkeypatch):
     assert got(shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0)) == slow(rows)
 
 
+def test_a_large_bucket_makes_no_more_rows_than_it_is_given():
+    """Whatever can be linked there, and all of it stays in one cluster."""
+    sets = shingles.shingle_sets([t.encode() for t in [*group(150, 135, 9, 1), *group(150, 123, 9, 2)]])
+    rows = [(7, 0, 0, len(s), i, i, shingles.sketch(s)) for i, s in enumerate(sets)]
+    names = ["token", "block", "side", "n", "node", "label", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+    found = [p for b in shingles.of_large((4, 5))(iter([batch])) for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    cluster = shingles.lowest(len(sets), *np.array(found).T)
+    able = [(i, j) for i in range(len(sets)) for j in range(i) if shingles.may_link(rows[i][6], len(sets[i]), rows[j][6], len(sets[j]), (4, 5))]
+    assert len(able) > 5 * len(rows) > 5 * len(found)
+    assert all(cluster[i] == cluster[j] for i, j in able) and len(set(cluster)) >= 2
+
+
+def test_long_texts_that_are_not_alike_make_no_cluster():
+    sets = shingles.shingle_sets([t.encode() for s in range(40) for t in group(1, 2500, 0, s)])
+    rows = [(7, 0, 0, len(s), i, i, shingles.sketch(s)) for i, s in enumerate(sets)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["token", "block", "side", "n", "node", "label", "sketch"])
+    assert not [b for b in shingles.of_large((4, 5))(iter([batch])) if b.num_rows]
+
+
+@pytest.mark.parametrize(("wide", "heavy"), [(8_192, 2_000_000), (20, 2_000_000), (8_192, 3_000)])
+def test_clusters_of_any_number_of_blocks(spark, monkeypatch, wide, heavy):
+    for name, value in (("SMALL", 2), ("BLOCK", 16), ("WIDE", wide), ("HEAVY", heavy)):
+        monkeypatch.setattr(shingles, name, value)
+    rows = list(enumerate([*group(80, 130, 10, 1), *group(40, 90, 6, 2), *group(5, 3000, 150, 3)]))
+    want = slow(rows)
+    assert 10 < len({c for _, c in want}) < len(rows) - 30
+    assert got(shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0)) == want
+
+
 def test_odd_rows(odd, empty):
     from tests.llm.conftest import ODD
 
