@@ -1,8 +1,8 @@
 """Near copies by word shingles: all pairs of a Jaccard similarity, exactly.
 
-Candidates share a shingle of their prefixes (Chaudhuri et al. 2006, Bayardo et al. 2007). Pairs go by their sizes, by the
-Hamming distance of parity fingerprints and, in large buckets, by tables of distances to pivots; all three bounds are
-exact. Survivors are verified on the texts.
+Candidates share a shingle of their prefixes (Chaudhuri et al. 2006, Bayardo et al. 2007); the first may come from the
+caller's fingerprints too. Pairs go by their sizes, by the Hamming distance of parity fingerprints and, in large buckets, by
+tables of distances to pivots; all three bounds are exact. Survivors are verified on the texts.
 """
 
 from __future__ import annotations
@@ -429,9 +429,10 @@ def verified(found: DataFrame, texts: DataFrame, k: int, least: tuple[int, int])
     return both_sides(found, texts).mapInArrow(run, "u bigint, v bigint")
 
 
-def links(sets: DataFrame, texts: DataFrame, k: int, least: tuple[int, int], rounds: int = ROUNDS) -> DataFrame | None:
+def links(sets: DataFrame, texts: DataFrame, k: int, least: tuple[int, int], rounds: int = ROUNDS, first: DataFrame | None = None) -> DataFrame | None:
     """Edges (u, v) whose components are those of all pairs of `sets` (node, n, prefix, sketch) with the similarity; None if there is none.
 
+    Pairs (u, v) in `first` are tried in the first round, whatever their prefixes.
     Members of a large group meet by stars first, so what they have in common is not expanded to pairs; those that are
     not connected after that all meet. Pairs of small buckets are verified as rows; large buckets only tell which rows can be
     linked at all, as clusters, and within these the sets are compared where they meet: what is not a link makes no row there. No
@@ -460,7 +461,7 @@ def links(sets: DataFrame, texts: DataFrame, k: int, least: tuple[int, int], rou
                 pairs = cut(blocks.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(of_large(least), "u bigint, v bigint"))
                 if not pairs.isEmpty():
                     sure = cut(clustered(pairs, large, texts, k, least))
-        found = found.distinct()
+        found = (found.union(first) if first is not None and turn == 0 else found).distinct()
         found = cut(possible(cut(found if tried is None else found.join(tried, ["u", "v"], "left_anti")), sets, least))
         if not found.isEmpty():
             new = cut(verified(found, texts, k, least))
@@ -474,7 +475,7 @@ def links(sets: DataFrame, texts: DataFrame, k: int, least: tuple[int, int], rou
     return None if edges is None or edges.isEmpty() else edges
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: tuple[int, int] = LEAST, rounds: int = ROUNDS) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: tuple[int, int] = LEAST, rounds: int = ROUNDS, fingerprint: Callable[[bytes, int], int] | None = None, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per row of `df`: id, component_id (smallest id reachable by links, itself included).
 
     Texts link where the Jaccard similarity of their sets of k-word shingles (words are what white space parts, ASCII
@@ -482,6 +483,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     no link is lost and none is added. Equal texts are one node; null, empty and wordless texts have the empty set and
     link to each other alone, a text of fewer than k words is one shingle. Repeated rows are answered again; a null id is larger than any;
     an empty table gives no rows; other columns are ignored.
+
+    `fingerprint` of a text and k is a 64-bit number; of (node, fp), one row per text with a word, `candidates` makes the
+    pairs (u, v) that are verified first. They save work and change no result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     node = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
@@ -492,13 +496,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     def batch(cols):
         sets = shingle_sets(cols["text"], k)
-        yield {"n": [len(s) for s in sets], "prefix": [order.prefix(s, least).view(np.int64) for s in sets], "sketch": [sketch(s) for s in sets]}
+        yield {"n": [len(s) for s in sets], "prefix": [order.prefix(s, least).view(np.int64) for s in sets], "sketch": [sketch(s) for s in sets], "fp": np.array([fingerprint(t, k) if fingerprint else 0 for t in cols["text"]], np.uint64).view(np.int64)}
 
-    read = map_arrow(texts.select("node", "text"), batch, "n bigint, prefix array<bigint>, sketch binary", text="text", carry=("node",))
+    read = map_arrow(texts.select("node", "text"), batch, "n bigint, prefix array<bigint>, sketch binary, fp bigint", text="text", carry=("node",))
     read = cut(read.withColumnRenamed("carried_0", "node").withColumn("row", F.monotonically_increasing_id()))
     twice = join_checked(read.select("node", "row"), lows.where("rows > 1").select("node"), ["node"], "left_semi").groupBy("node").agg(F.min("row").alias("first"))
     sets = join_checked(read, cut(twice), ["node"], "left").where("first is null or row = first")
-    edges = links(sets, texts.select("node", "text"), k, least, rounds)
+    first = candidates(sets.where("n > 0").select("node", "fp")) if candidates else None
+    edges = links(sets, texts.select("node", "text"), k, least, rounds, first)
     if edges is None:
         label = lows.where("rows > 1").select("node", F.col("low").alias("least"))
     else:

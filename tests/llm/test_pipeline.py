@@ -4,9 +4,9 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from lectern.llm import langid, pii
+from lectern.llm import langid, pii, shingles, simhash
 from tests.llm.conftest import ODD
-from tests.llm.test_shingles import slow
+from tests.llm.test_shingles import group, slow
 
 DIR = "/root/testdata/sf0.001"
 
@@ -48,6 +48,25 @@ def test_near(stages):
     assert all(r == before[r.doc_id] for r in after)
 
 
+def test_near_links_by_fingerprints(spark, stages, monkeypatch):
+    """The stage's first pairs are those of SimHash fingerprints of five-word shingles, and what these link is linked by them alone."""
+    seen, verified = [], shingles.verified
+
+    def spy(found, *rest):
+        seen.append(found)
+        return verified(found, *rest)
+
+    monkeypatch.setattr(shingles, "verified", spy)
+    monkeypatch.setattr(shingles, "stars", lambda least: lambda batches: (b.select(["node", "label"]).rename_columns(["u", "v"]).slice(0, 0) for b in batches))
+    texts = group(60, 200, 6, 7)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], spark.read.parquet(f"{DIR}/documents.parquet").schema)
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, DIR).collect()}
+    assert kept == {i for i, low in slow([*enumerate(texts)]) if i == low} and len(kept) < len(texts) - 40
+    node = {r.n: simhash.fingerprint(r.text.encode(), 5) for r in docs.selectExpr("xxhash64(text) n", "text").collect()}
+    first = [(r.u, r.v) for r in seen[0].collect()]
+    assert len(first) > 40 and all((node[u] ^ node[v]).bit_count() <= simhash.NEAR for u, v in first)
+
+
 def test_private(stages):
     before, after = stages["pii"]
     assert {r.doc_id for r in after} == set(before)

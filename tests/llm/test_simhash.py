@@ -94,3 +94,31 @@ def test_pivot_filter_loses_no_link():
     a, b = simhash.linked(fp, i, j, table)
     near = np.bitwise_count(fp[i] ^ fp[j]) <= 2
     assert set(zip(a.tolist(), b.tolist())) == set(zip(i[near].tolist(), j[near].tolist()))
+
+
+def test_candidates_are_near_and_leave_out_none_within_sure_bits(spark):
+    """In whole and in split buckets; nodes of one fingerprint are a star."""
+    rng = np.random.default_rng(3)
+    fps = []
+    for base in rng.integers(0, 2**63, 40):
+        for _ in range(25):
+            fps.append(int(base))
+            for b in rng.integers(0, 64, int(rng.integers(0, 8))):
+                fps[-1] ^= 1 << int(b)
+    rows = spark.createDataFrame([(i, f if f < 2**63 else f - 2**64) for i, f in enumerate(fps)], "node long, fp long")
+    near = {i for i, f in enumerate(fps) if any(i != j and (f ^ g).bit_count() <= simhash.SURE for j, g in enumerate(fps))}
+    assert len({*fps}) < len(fps) and len(near) > 500
+    for bucket in (5, 1000):
+        found = [(r.u, r.v) for r in simhash.candidates(rows, bucket).collect()]
+        assert len(found) == len({*found}) and all(u < v and (fps[u] ^ fps[v]).bit_count() <= simhash.NEAR for u, v in found)
+        assert near <= {i for p in found for i in p}
+
+
+def test_blocks_are_those_of_the_number(spark):
+    fps = [0, -1, 2**63 - 1, -(2**63), 0x0123456789ABCDEF]
+    for parts in (4, 6):
+        which = simhash.shares(64, parts)
+        assert sum(w for _, w in which) == 64
+        for r in spark.createDataFrame([(f,) for f in fps], "fp long").select("fp", *[simhash.blocks(simhash.F.col("fp"), [which[a], which[b]]) for a, b in simhash.combinations(range(parts), 2)]).collect():
+            want = [((r.fp % 2**64 >> a & (1 << m) - 1) << n) + (r.fp % 2**64 >> b & (1 << n) - 1) for (a, m), (b, n) in simhash.combinations(which, 2)]
+            assert list(r[1:]) == want
