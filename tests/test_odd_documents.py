@@ -52,6 +52,10 @@ def test_metrics_json_of_documents_without_words(same):
     same("metrics_json", [*enumerate(TEXTS), (len(TEXTS), None)])
 
 
+def test_metrics_json_between_two_places(same):
+    same("metrics_json", HALFWAY)
+
+
 def test_plain_blocks_of_documents_without_blocks(same):
     same("plain_blocks", [*enumerate(TEXTS), (len(TEXTS), None)])
 
